@@ -30,6 +30,21 @@ def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(spark, table(spark, sf_dir, "documents"), _tokenizer(WORD_BPE))
 
 
+def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.common import Scratch
+    from weft.llm.warc import archive_rows, plan_records, write_archive
+
+    path = Scratch(spark, "warc").path("archive")
+    write_archive(plan_records(table(spark, sf_dir, "pages")), path)
+    return archive_rows(spark, path)
+
+
+def op8_fingerprint(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.fingerprint import fingerprints
+
+    return fingerprints(spark, table(spark, sf_dir, "documents"))
+
+
 def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.bpe import encode_documents
 
@@ -47,6 +62,8 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op4_secret_scan": op4_secret_scan,
     "op6_best_fit_packing": op6_best_fit_packing,
+    "op7_warc": op7_warc,
+    "op8_fingerprint": op8_fingerprint,
     "op9_bpe_automaton": op9_bpe_automaton,
     "op10_media_columns": op10_media_columns,
 }
