@@ -17,6 +17,25 @@ def _tokenizer(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def op1_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.minhash import near_duplicates
+
+    return near_duplicates(spark, table(spark, sf_dir, "documents"))
+
+
+def op2_katz(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.katz import score
+
+    return score(spark, table(spark, sf_dir, "documents"))
+
+
+def op3_cotraining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.quality import fit, score_quality
+
+    docs = table(spark, sf_dir, "documents")
+    return score_quality(docs, fit(spark, docs, table(spark, sf_dir, "labels")))
+
+
 def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.secret_scan import scan_secrets
 
@@ -24,6 +43,12 @@ def op4_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents")).drop("clean_text")
 
 
+def op5_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weft.llm.pii import find_pii
+
+    return find_pii(spark, table(spark, sf_dir, "documents"))
+
+
 def op6_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.packing import pack
 
@@ -59,13 +84,24 @@ def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return media_columns(table(spark, sf_dir, "documents"), keep_media=False).drop("media")
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_minhash": op1_minhash,
+    "op2_katz": op2_katz,
+    "op3_cotraining": op3_cotraining,
     "op4_secret_scan": op4_secret_scan,
+    "op5_pii": op5_pii,
     "op6_best_fit_packing": op6_best_fit_packing,
     "op7_warc": op7_warc,
     "op8_fingerprint": op8_fingerprint,
     "op9_bpe_automaton": op9_bpe_automaton,
     "op10_media_columns": op10_media_columns,
+    "pipeline": pipeline,
 }
 
 ORACLE_SQL: dict[str, str] = {}

@@ -129,3 +129,20 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+
+
+def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", bits: float = BITS) -> DataFrame:
+    """docs with every secret replaced in its text; the count of characters follows where a text changed. Other columns stay."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, at = batch.column(text_col).to_pylist(), batch.schema.get_field_index(text_col)
+            clean = [t if not t or not (s := spans_of(t, bits)) else redacted(t, s) for t in texts]
+            cols = list(batch.columns)
+            cols[at] = pa.array(clean, batch.schema.field(at).type)
+            if (k := batch.schema.get_field_index(chars_col)) >= 0:
+                counts = [n if c == t else len(c) for n, c, t in zip(cols[k].to_pylist(), clean, texts, strict=True)]
+                cols[k] = pa.array(counts, batch.schema.field(k).type)
+            yield pa.RecordBatch.from_arrays(cols, names=batch.schema.names)
+
+    return docs.mapInArrow(run, docs.schema)
