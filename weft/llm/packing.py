@@ -35,7 +35,7 @@ from weft.llm.common import Scratch, bounded_batches
 CAPACITY, END = 2048, 0
 CHUNKS, WORDS = 300_000, 200_000
 #: Pieces of one slice of one length, roughly: ranks are taken within such slices.
-SLICE_ROWS = 50_000
+SLICE_ROWS = 2_000
 # The fixed pre-splitting pattern of the vocabulary.
 SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
