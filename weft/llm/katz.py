@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import Scratch, bounded_batches
 
 ORDER, K = 2, 5
-BLOCK_TOKENS = 2_000_000
+BLOCK_TOKENS = 1_500_000
 HOT = 512
 WORDS = 400_000
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
@@ -137,34 +137,28 @@ class Block:
     """The documents of a block as arrays over all of its tokens."""
 
     def __init__(self, data: bytes):
-        ids, lengths, names, self.word = _unpack(data)
-        self.ids, self.lengths, self.names = ids, lengths, _hashes(names)
+        ids, lengths, *names, self.word = _unpack(data)
+        self.ids, self.lengths, self.names = ids, lengths, _hashes(names[0]) if names else None
         self.starts = np.cumsum(lengths) - lengths
         self.train_doc = np.array([not held_out(i) for i in ids.tolist()], bool)
         self.train = np.repeat(self.train_doc, lengths)
-        self.place = np.arange(len(self.word)) - np.repeat(self.starts, lengths)
-
-    def grams(self, n: int) -> tuple[np.ndarray, np.ndarray]:
-        """(hash of the n-gram that ends at each token, whether there is one), contexts start with the document."""
-        h = self.names[self.word]
-        out = h.copy()
-        for back in range(1, n):
-            before = np.zeros_like(h)
-            before[back:] = h[:-back]
-            before[self.place < back] = np.uint64(back)  # before the first token: a mark for each distance
-            out = out + (before * _STEP ^ (before >> np.uint64(29))) * np.uint64(2 * back + 0x9E3779B97F4A7C15)
-        return out ^ (out >> np.uint64(32)) * np.uint64(0x94D049BB133111EB)
-
-    def contexts(self, n: int) -> np.ndarray:
-        """Hash of the n - 1 tokens before each token."""
-        h = self.names[self.word]
-        out = np.zeros_like(h)
-        for back in range(1, n):
-            before = np.zeros_like(h)
-            before[back:] = h[:-back]
-            before[self.place < back] = np.uint64(back)
-            out = out + (before * _STEP ^ (before >> np.uint64(29))) * np.uint64(2 * back + 0x9E3779B97F4A7C15)
-        return out ^ (out >> np.uint64(31)) * np.uint64(0xBF58476D1CE4E5B9)
+        self.place = (np.arange(len(self.word)) - np.repeat(self.starts, lengths)).astype(np.int32)
+
+    def contexts(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Of the n - 1 tokens before each token: distinct keys, ascending by the part that owns them, and each token's place there."""
+        before = np.zeros(len(self.word), np.int64)
+        before[1:] = self.word[:-1].astype(np.int64) + 1
+        before[self.place < 1] = 0
+        if n == 2:  # one word: its own key; 0 stands for the start of a document
+            return np.concatenate([np.zeros(1, np.uint64), keys]), before
+        h = np.concatenate([np.zeros(1, np.uint64), keys])[before]
+        for back in range(2, n):
+            more = np.zeros(len(h), np.uint64)
+            more[back:] = keys[self.word[:-back]]
+            more[self.place < back] = np.uint64((1 << 63) + back)
+            h = (h * _STEP ^ (h >> np.uint64(29))) + more * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        return np.unique(h * np.uint64(0x94D049BB133111EB), return_inverse=True)
 
 
 def discounts(counts_of_counts: dict[int, int], k: int = K) -> np.ndarray:
@@ -258,23 +252,41 @@ def _with_answers(stored: DataFrame, answers: DataFrame, run, schema: str) -> Da
 
 
 def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, data: bytes, counts: bytes, low: bytes | None) -> dict:
-    """Distinct n-grams of a block in the order in which they are sent: by owner, then by hash; index: each token's place there."""
-    b, c = Block(data), _unpack(counts)[0].astype(np.int64)
-    p = _unpack(low)[0] if low is not None else words(c)[b.word]
-    gram, ctx = b.grams(n), b.contexts(n)
-    hot = np.zeros(len(gram), bool)
+    """Distinct n-grams of a block as (context, word), in the order in which they are sent; index: each token's place there.
+
+    Words have keys whose upper bits are the part that owns them, in the order of the block's own indexes, so sorting small
+    whole numbers sorts by owner. A frequent context's n-grams are owned by their words' parts instead, and come last.
+    """
+    b, (c, keys) = Block(data), _unpack(counts)
+    c, keys = c.astype(np.int64), _hashes(keys)
+    width = len(keys) + 1
+    ctx_keys, ctx = b.contexts(n, keys)
+    p = _unpack(low)[0] if low is not None else None
+    hot_ctx = np.zeros(len(ctx_keys), bool)
     if n == 2:
-        hot[1:] = c[b.word[:-1]] >= hot_from
-        hot &= b.place > 0
-    owner = np.where(hot, _owner(gram, parts), _owner(ctx, parts))
-    where = np.lexsort((gram, owner))
-    fresh = np.ones(len(where), bool)
-    fresh[1:] = gram[where][1:] != gram[where][:-1]
-    first = where[fresh]
-    index = np.empty(len(where), np.int64)
-    index[where] = np.cumsum(fresh) - 1
-    seen = np.bincount(index[b.train], minlength=len(first))
-    return {"b": b, "counts": c, "index": index, "cuts": _cuts(owner[first]), "gram": gram[first], "ctx": ctx[first], "hot": hot[first], "low": p[first], "seen": seen}
+        hot_ctx[1:] = c >= hot_from
+    token_hot = hot_ctx[ctx]
+    top = np.int64(len(ctx_keys)) * width
+    mixed = np.where(token_hot, top + b.word * np.int64(len(ctx_keys)) + ctx, ctx * np.int64(width) + b.word)
+    grams, first, index = np.unique(mixed, return_index=True, return_inverse=True)
+    del mixed
+    cold = int(np.searchsorted(grams, top))
+    gram_ctx, gram_word = ctx[first], b.word[first]
+    owner = ctx_keys[gram_ctx] >> np.uint64(40) if n == 2 else _owner(ctx_keys[gram_ctx], parts).astype(np.uint64)
+    owner[cold:] = keys[gram_word[cold:]] >> np.uint64(40)
+    seen = np.bincount(index[b.train], minlength=len(grams))
+    sent_low = c[gram_word] if p is None else p[first]
+    q = {"b": b, "counts": c, "index": index, "low": words(sent_low) if p is None else sent_low, "sent_low": sent_low, "seen": seen, "keys": keys[gram_word], "slices": []}
+    halves = {}
+    for lo, hi in ((0, cold), (cold, len(grams))):
+        for part, i, j in _cuts(owner[lo:hi].astype(np.int64)):
+            halves.setdefault(part, []).append((lo + i, lo + j))
+    for part in sorted(halves):
+        at = np.concatenate([np.arange(i, j) for i, j in halves[part]])
+        g = gram_ctx[at]
+        runs = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
+        q["slices"].append((part, at, ctx_keys[g[runs]], hot_ctx[g[runs]], np.diff(np.append(runs, len(at)))))
+    return q
 
 
 def _add_words(t: pa.Table) -> pa.Table:
@@ -284,37 +296,48 @@ def _add_words(t: pa.Table) -> pa.Table:
     total = np.bincount(at, np.concatenate([n for *_, n in got]).astype(np.float64), len(names)).astype(np.int64)
     rows, i = [], 0
     for p, block, d, _ in got:
-        rows.append((p, block, _pack(_smallest(total[at[i : i + len(d)]])), *_NO_STATS, *_NO_HOT))
+        mine = at[i : i + len(d)]
+        # A word's key: its part, then its place there from 1 on.
+        rows.append((p, block, _pack(_smallest(total[mine]), _deltas((np.uint64(p) << np.uint64(40)) + mine.astype(np.uint64) + np.uint64(1))), *_NO_STATS, *_NO_HOT))
         i += len(d)
     rows.append((got[0][0], None, None, *_stats_row(total), *_NO_HOT))
     return _table(_ANSWER_NAMES, _ANSWER_KINDS, rows)
 
 
-def _add_ngrams(t: pa.Table) -> pa.Table:
-    """Counts of a part's n-grams for each block that asked; of their contexts: the followers' total, how many of them occur
-    once, twice, ... up to K times, and the lower order's mass of those that occur at all."""
-    got = [(p, block, _unpack(data)) for p, block, data in zip(*(t[c].to_pylist() for c in ("part", "block", "data")), strict=True)]
-    gram, first, at = np.unique(np.concatenate([_hashes(a[0]) for *_, a in got]), return_index=True, return_inverse=True)
-    total = np.bincount(at, np.concatenate([a[6] for *_, a in got]).astype(np.float64), len(gram)).astype(np.int64)
-    names, of = np.unique(np.concatenate([_hashes(a[1])[a[2]] for *_, a in got])[first], return_inverse=True)
-    is_hot = np.concatenate([a[3] for *_, a in got])[first].astype(bool)
-    low = np.concatenate([a[4][a[5]] for *_, a in got])[first]
-    sums = [np.bincount(of, total.astype(np.float64), len(names)).astype(np.int64)]
-    sums += [np.bincount(of, total == r, len(names)).astype(np.int64) for r in range(1, K + 1)]
-    mass = np.bincount(of, np.where(total > 0, low, 0.0), len(names))
-    # The lowest bit of what goes for the total: whether any follower is rare enough to be discounted.
-    shown = [2 * sums[0] + (sum(sums[1:]) > 0), *sums[1:]]
-    rows, i = [], 0
-    for p, block, a in got:
-        mine = at[i : i + len(a[0])]
-        i += len(a[0])
-        n, ctx_at = total[mine], np.searchsorted(names, _hashes(a[1]))
-        backs_off = np.bincount(a[2][n == 0], minlength=len(ctx_at)) > 0
-        rows.append((p, block, _pack(_smallest(n), *(_smallest(np.where(backs_off | (k == 0), x[ctx_at], 0)) for k, x in enumerate(shown)), np.where(backs_off, mass[ctx_at], 0.0)), *_NO_STATS, *_NO_HOT))
-    rows.append((got[0][0], None, None, *_stats_row(total), *_NO_HOT))
-    for k in np.unique(of[is_hot]).tolist():
-        rows.append((got[0][0], None, None, *_NO_STATS, int(names[k : k + 1].view(np.int64)[0]), *(int(x[k]) for x in sums), float(mass[k])))
-    return _table(_ANSWER_NAMES, _ANSWER_KINDS, rows)
+def _adder(n: int, words: Unigrams):
+    def add_ngrams(t: pa.Table) -> pa.Table:
+        """Counts of a part's n-grams for each block that asked; of their contexts: the followers' total, how many of them
+        occur once, twice, ... up to K times, and the lower order's mass of those that occur at all."""
+        got = [(p, block, _unpack(data)) for p, block, data in zip(*(t[c].to_pylist() for c in ("part", "block", "data")), strict=True)]
+        names, run_ctx = np.unique(np.concatenate([_hashes(a[0]) for *_, a in got]), return_inverse=True)
+        ctx = np.repeat(run_ctx, np.concatenate([a[2] for *_, a in got]))
+        word_names, word = np.unique(np.concatenate([a[3] for *_, a in got]), return_inverse=True)
+        width = np.int64(len(word_names) + 1)
+        _, first, at = np.unique(ctx * width + word, return_index=True, return_inverse=True)
+        del word, word_names
+        total = np.bincount(at, np.concatenate([a[5] for *_, a in got]).astype(np.float64), len(first)).astype(np.int64)
+        of, low = ctx[first], np.concatenate([a[4] for *_, a in got])[first]
+        low = words(low.astype(np.int64)) if n == 2 else low
+        sums = [np.bincount(of, total.astype(np.float64), len(names)).astype(np.int64)]
+        sums += [np.bincount(of, total == r, len(names)).astype(np.int64) for r in range(1, K + 1)]
+        mass = np.bincount(of, np.where(total > 0, low, 0.0), len(names))
+        # The lowest bit of what goes for the total: whether any follower is rare enough to be discounted.
+        shown = [2 * sums[0] + (sum(sums[1:]) > 0), *sums[1:]]
+        is_hot = np.zeros(len(names), bool)
+        is_hot[run_ctx] = np.concatenate([a[1] for *_, a in got]).astype(bool)
+        rows, i, r = [], 0, 0
+        for p, block, a in got:
+            mine, runs = at[i : i + len(a[3])], run_ctx[r : r + len(a[0])]
+            i, r = i + len(a[3]), r + len(a[0])
+            n_of = total[mine]
+            backs_off = np.bincount(np.repeat(np.arange(len(runs)), a[2])[n_of == 0], minlength=len(runs)) > 0
+            rows.append((p, block, _pack(_smallest(n_of), *(_smallest(np.where(backs_off | (k == 0), x[runs], 0)) for k, x in enumerate(shown)), np.where(backs_off, mass[runs], 0.0)), *_NO_STATS, *_NO_HOT))
+        rows.append((got[0][0], None, None, *_stats_row(total), *_NO_HOT))
+        for k in np.flatnonzero(is_hot).tolist():
+            rows.append((got[0][0], None, None, *_NO_STATS, int(names[k : k + 1].view(np.int64)[0]), *(int(x[k]) for x in sums), float(mass[k])))
+        return _table(_ANSWER_NAMES, _ANSWER_KINDS, rows)
+
+    return add_ngrams
 
 
 def _katz(total: np.ndarray, low: np.ndarray, ctx_at: np.ndarray, n_ctx: np.ndarray, rare: np.ndarray, once: list[np.ndarray], mass: np.ndarray, d: np.ndarray) -> np.ndarray:
@@ -352,9 +375,10 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     def first(block: int, data: bytes, _c, _l, got: list) -> pa.Table:
         b, counts = Block(data), np.concatenate([x[0].astype(np.int64) for x in got])
+        keys = np.concatenate([_hashes(x[1]) for x in got])
         if order == 1:
             return _scored(b, counts, words(counts)[b.word], words)
-        return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, data, _pack(_smallest(counts)), None)])
+        return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, _pack(b.ids, b.lengths, b.word.astype(np.uint32)), _pack(_smallest(counts), _deltas(keys)), None)])
 
     if order == 1:
         return _with_answers(stored, answers.where("block is not null"), first, SCORES)
@@ -375,14 +399,13 @@ def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigr
         for batch in batches:
             for block, *s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 q = _ngram_request(n, parts, words, hot_from, *s)
-                for part, i, j in q["cuts"]:
-                    names, at = np.unique(q["ctx"][i:j], return_inverse=True)
-                    levels, level = np.unique(q["low"][i:j], return_inverse=True)
-                    data = _pack(_deltas(q["gram"][i:j]), _deltas(names), _smallest(at), q["hot"][i:j].view(np.uint8), levels, _smallest(level), _smallest(q["seen"][i:j]))
+                for part, at, ctx, hot, lengths in q["slices"]:
+                    low = q["sent_low"][at]
+                    data = _pack(_deltas(ctx), hot.view(np.uint8), _smallest(lengths), q["keys"][at], _smallest(low) if n == 2 else low, _smallest(q["seen"][at]))
                     yield _arrow(["part", "block", "data"], [pa.int64(), pa.int64(), pa.binary()], [(part, block, data)])
 
     sent = stored.select("block", "data", "counts", "low").mapInArrow(send, _SENT)
-    answers = scratch.keep(sent.groupBy("part").applyInArrow(_add_ngrams, _ANSWER), f"answers-{n}")
+    answers = scratch.keep(sent.groupBy("part").applyInArrow(_adder(n, words), _ANSWER), f"answers-{n}")
     d = discounts(_sum_stats(answers)["counts"])
     # The frequent contexts, added up before they get here: at most HOT rows, as each has a HOT-th of all tokens.
     hot = {r.hot_ctx: tuple(r)[1:] for r in answers.where("hot_ctx is not null").groupBy("hot_ctx").agg(*(F.sum(c).alias(c) for c in _HOT[1:])).collect()}
@@ -391,9 +414,8 @@ def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigr
 
     def take(block: int, data: bytes, counts: bytes, low: bytes | None, got: list) -> pa.Table:
         q = _ngram_request(n, parts, words, hot_from, data, counts, low)
-        probs = []
-        for (_, i, j), (total, n_ctx, *once, mass) in zip(q["cuts"], got, strict=True):
-            names, at = np.unique(q["ctx"][i:j], return_inverse=True)
+        probs = np.empty(len(q["seen"]))
+        for (_, at, names, _, lengths), (total, n_ctx, *once, mass) in zip(q["slices"], got, strict=True):
             n_ctx = n_ctx.astype(np.int64)
             rare, n_ctx, once = (n_ctx & 1) > 0, (n_ctx >> 1).astype(np.float64), [x.astype(np.float64) for x in once]
             if len(hot_names):
@@ -403,8 +425,8 @@ def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigr
                 for x, y in zip([n_ctx, *once, mass], sums, strict=True):
                     x[match] = y
                 rare[match] = sums[1 : K + 1].sum(axis=0) > 0
-            probs.append(_katz(total.astype(np.int64), q["low"][i:j], at, n_ctx, rare, once, mass, d))
-        p = np.concatenate(probs)[q["index"]]
+            probs[at] = _katz(total.astype(np.int64), q["low"][at], np.repeat(np.arange(len(names)), lengths), n_ctx, rare, once, mass, d)
+        p = probs[q["index"]]
         if last:
             return _scored(q["b"], q["counts"], p, words)
         return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, data, counts, _pack(p))])
