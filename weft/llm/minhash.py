@@ -8,7 +8,8 @@ Equal sets first become one class, so copies cost one row in all later steps. Bu
 edges from a centre (the smallest id) to the others, linear in the bucket's size. Proposed edges are confirmed on the full sets. As a
 star misses links between two of its leaves, further rounds take new centres, up to CENTRES a bucket, in buckets whose
 members are not yet in one component, until no bucket is left: every pair that shares a bucket is either confirmed,
-refuted or inside one component. Components come from min-label propagation with pointer jumping; every round is written to the shared
+refuted or inside one component. Centres come from outside a bucket's largest component, since each open pair has an end
+there; pairs whose set sizes alone rule a link out are refuted without their texts. Components come from min-label propagation with pointer jumping; every round is written to the shared
 folder, which cuts lineage and survives lost executors.
 
 At similarity 0.85 a pair shares no bucket with probability (1 - 0.85^6)^28 < 2e-6.
@@ -34,7 +35,8 @@ SHINGLE, BANDS, ROWS = 5, 28, 6
 BINS = BANDS * ROWS
 #: Similarity in hundredths from which documents are linked.
 LINKED = 85
-CENTRES = 8
+#: Centres that a bucket may take in one round after the first.
+CENTRES = 64
 WORDS = 400_000
 #: Ids up to which the set of documents with candidate edges is broadcast (8 bytes each).
 MOST_IDS = 1_000_000
@@ -191,13 +193,13 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     sig = scratch.keep(signatures(docs, id_col, text_col), "signatures")
     classes = scratch.keep(sig.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
     reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("rep_digest")), "doc_id")
-    rows = reps.where("digest = rep_digest").select(F.explode(F.array_distinct("keys")).alias("bucket"), F.col("doc_id").alias("doc")).distinct()
+    rows = reps.where("digest = rep_digest").select(F.explode(F.array_distinct("keys")).alias("bucket"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size")).distinct()
     # Buckets of one class go: counted before the shuffle, so hot buckets are one row a task.
-    several = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min("doc").alias("centre")).where("n > 1").drop("n")
+    several = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("doc", "size")).alias("c")).where("n > 1").select("bucket", F.col("c.doc").alias("centre"), F.col("c.size").alias("centre_size"))
     members = scratch.keep(rows.join(several, "bucket"), "members")
-    pairs = members.where("doc <> centre").select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
+    pairs = members.where("doc <> centre").where(_sizes_allow("size", "centre_size", hundredths)).select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
     pairs = scratch.keep(pairs, "pairs-0")
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    ids = members.select(F.col("doc").alias("doc_id")).distinct()
     ids = scratch.keep(ids, "ids")
     n_ids = ids.count()
     component = None
@@ -215,10 +217,15 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
 
 
+def _sizes_allow(a: str, b: str, hundredths: int):
+    """Whether two set sizes leave room for a link."""
+    return F.least(a, b) * 100 >= F.greatest(a, b) * hundredths
+
+
 def _link(scratch: Scratch, members: DataFrame, pairs: DataFrame, texts: DataFrame, hundredths: int) -> DataFrame | None:
     """Rounds of stars until every bucket's members are in one component or compared."""
     centres = members.select("bucket", F.col("centre").alias("doc")).distinct()
-    members = members.select("bucket", "doc")
+    members = members.select("bucket", "doc", "size")
     seen, labels, k = None, None, 0
     while True:
         verdicts = scratch.keep(confirm(pairs, texts, hundredths), f"verdicts-{k}")
@@ -227,16 +234,17 @@ def _link(scratch: Scratch, members: DataFrame, pairs: DataFrame, texts: DataFra
         if not verdicts.where("linked").isEmpty():
             labels = components(scratch, found, f"round-{k}")
         k += 1
-        at = members.join(labels, "doc", "left").select("bucket", "doc", F.coalesce("comp", "doc").alias("comp")) if labels is not None else members.withColumn("comp", F.col("doc"))
+        at = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")) if labels is not None else members.withColumn("comp", F.col("doc"))
         at = at.join(centres, ["bucket", "doc"], "left_anti")
-        alive = at.groupBy("bucket").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("bucket")
-        at = scratch.keep(at.join(alive, "bucket", "left_semi"), f"open-{k}")
+        by_comp = at.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
+        alive = by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1").select("bucket", F.col("most.comp").alias("most"))
+        at = scratch.keep(at.join(alive, "bucket").select("bucket", "doc", "size", "comp", "most"), f"open-{k}")
         if at.isEmpty():
             return labels
-        new = at.groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(CENTRES)).alias("part")).agg(F.min_by("doc", "doc").alias("centre"), F.min_by("comp", "doc").alias("centre_comp")).drop("part")
-        new = scratch.keep(new, f"centres-{k}")
-        edges = at.join(new, "bucket").where("doc <> centre and comp <> centre_comp")
+        outside = at.where("comp <> most").groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(CENTRES)).alias("part")).agg(F.min(F.struct("doc", "comp", "size")).alias("c"))
+        new = scratch.keep(outside.select("bucket", F.col("c.doc").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.size").alias("centre_size")), f"centres-{k}")
+        edges = at.join(new, "bucket").where("doc <> centre and comp <> centre_comp").where(_sizes_allow("size", "centre_size", hundredths))
         edges = edges.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = scratch.keep(edges.join(seen, ["a", "b"], "left_anti"), f"pairs-{k}")
         centres = scratch.keep(centres.unionByName(new.select("bucket", F.col("centre").alias("doc"))), f"all-centres-{k}")
-        members = at.select("bucket", "doc")
+        members = at.select("bucket", "doc", "size")
