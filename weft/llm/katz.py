@@ -416,7 +416,7 @@ def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigr
         q = _ngram_request(n, parts, words, hot_from, data, counts, low)
         probs = np.empty(len(q["seen"]))
         for (_, at, names, _, lengths), (total, n_ctx, *once, mass) in zip(q["slices"], got, strict=True):
-            n_ctx = n_ctx.astype(np.int64)
+            n_ctx, mass = n_ctx.astype(np.int64), mass.copy()
             rare, n_ctx, once = (n_ctx & 1) > 0, (n_ctx >> 1).astype(np.float64), [x.astype(np.float64) for x in once]
             if len(hot_names):
                 k = np.searchsorted(hot_names, names).clip(max=len(hot_names) - 1)
