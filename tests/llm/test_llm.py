@@ -12,7 +12,7 @@ import public_tokenizers
 import pytest
 from tokenizers import Tokenizer
 
-from weft.llm import bpe, katz, media, minhash, packing, pii, secret_scan, warc
+from weft.llm import bpe, katz, media, minhash, packing, pii, quality, secret_scan, warc
 from weft.llm.fingerprint import fingerprints
 
 ODD = [None, "", " ", "\n\n", "one two", "x" * 5000, "a b c d e f", "a b c d e f", "A B C D E F g", "é 漢字 🙂 <|endoftext|> don't  stop"]
@@ -198,3 +198,54 @@ def test_archives_come_back(spark, tmp_path):
     warc.write_archive(warc.plan_records(pages), f"file://{tmp_path}/a")
     got = {r.page_id: (r.payload_bytes, r.record_type, r.refers_to) for r in warc.archive_rows(spark, f"file://{tmp_path}/a").collect()}
     assert got == {1: (4, "response", None), 3: (4, "revisit", 1), 2: (0, "response", None), 5: (17, "response", None)}
+
+
+def test_sketches_never_refute_a_link_and_hot_groups_equal_brute_force(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
+    texts = []
+    for _ in range(260):  # near copies of one text on both sides of the threshold
+        words = list(base)
+        for _ in range(rng.randrange(1, 7)):
+            words[rng.randrange(len(words))] = f"e{rng.randrange(10**6)}"
+        texts.append(" ".join(words))
+    sets = minhash.shingle_sets([t.encode() for t in texts])
+    parent = list(range(len(sets)))
+
+    def root(i):
+        while parent[i] != i:
+            i = parent[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            differ = int(np.bitwise_count((minhash.parity_sketch(a) ^ minhash.parity_sketch(b)).view(np.uint64)).sum())
+            assert differ <= len(np.setxor1d(a, b))
+            if minhash.linked(a, b):
+                assert differ * 185 <= (len(a) + len(b)) * 15
+                x, y = root(i), root(j)
+                parent[max(x, y)] = min(x, y)
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(spark, df).collect()}
+    assert got == {i: root(i) for i in range(len(texts))}
+
+
+def test_quality_of_odd_rows_and_held_out_accuracy(spark, odd):
+    none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    assert quality.fit(spark, odd, none) is None
+    assert quality.keep_good(odd, None).count() == odd.count()
+    rng = random.Random(4)
+    word = lambda: "".join(rng.choice("abcdefghij") for _ in range(rng.randrange(2, 9)))
+    good = lambda: " ".join(word() for _ in range(80)) + "."
+    bad = lambda: " ".join(rng.choice(["|", "BUY", "###", "click"]) for _ in range(80))
+    rows = [(i, good() if i % 3 else bad(), "en", f"s{i % 4}", None, "clash", 1) for i in range(600)]
+    docs = spark.createDataFrame(rows + [(600, None, None, None, None, None, None)] * 2, SCHEMA)
+    marks = spark.createDataFrame([(i, int(i % 3 > 0), 0) for i in range(300)] + [(1, 1, 0), (None, 0, 0), (5, None, 0)], none.schema)
+    model = quality.fit(spark, docs, marks)
+    scored = quality.score_quality(docs, model).collect()
+    assert len(scored) == 602
+    apart = [r for r in scored if 300 <= r.doc_id < 600]
+    assert sum(r.kept == (r.doc_id % 3 > 0) for r in apart) >= 0.97 * len(apart)
+    assert quality.score_quality(docs.limit(0), model).count() == 0
+    assert quality.keep_good(docs, model).columns == docs.columns

@@ -9,7 +9,8 @@ edges from a centre (the smallest id) to the others, linear in the bucket's size
 star misses links between two of its leaves, further rounds take new centres, up to CENTRES a bucket, in buckets whose
 members are not yet in one component, until no bucket is left: every pair that shares a bucket is either confirmed,
 refuted or inside one component. Centres come from outside a bucket's largest component, since each open pair has an end
-there; pairs whose set sizes alone rule a link out are refuted without their texts. Components come from min-label propagation with pointer jumping; every round is written to the shared
+there. Set sizes and parity sketches refute most pairs without their texts: a sketch holds the parity of each of CELLS
+cells' member counts, so two sketches never differ in more cells than the sets differ in members. Components come from min-label propagation with pointer jumping; every round is written to the shared
 folder, which cuts lineage and survives lost executors.
 
 At similarity 0.85 a pair shares no bucket with probability (1 - 0.85^6)^28 < 2e-6.
@@ -35,8 +36,11 @@ SHINGLE, BANDS, ROWS = 5, 28, 6
 BINS = BANDS * ROWS
 #: Similarity in hundredths from which documents are linked.
 LINKED = 85
-#: Centres that a bucket may take in one round after the first.
-CENTRES = 64
+#: Centres that a bucket may take in the second round; each round after it may take GROWTH times as many, so rounds are few.
+CENTRES, GROWTH = 64, 8
+#: Cells of a parity sketch, and the longs that hold them.
+CELLS = 512
+LONGS = CELLS // 64
 WORDS = 400_000
 #: Ids up to which the set of documents with candidate edges is broadcast (8 bytes each).
 MOST_IDS = 1_000_000
@@ -115,7 +119,13 @@ def bucket_keys(s: np.ndarray) -> np.ndarray:
     return keys.view(np.int64)
 
 
-SIGNATURES = "doc_id long, n_shingles long, digest binary, keys array<long>"
+def parity_sketch(s: np.ndarray) -> np.ndarray:
+    """The parities of the cells' member counts, as longs."""
+    odd = np.bincount((s & np.uint64(CELLS - 1)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).view(np.int64)
+
+
+SIGNATURES = "doc_id long, n_shingles long, digest binary, keys array<long>, sketch array<long>"
 
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -124,9 +134,10 @@ def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             keys = [bucket_keys(s) if len(s) else None for s in sets]
+            sketches = [parity_sketch(s) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "digest", "keys"],
+                [batch.column(0).cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests, pa.binary()), pa.array(keys, pa.list_(pa.int64())), pa.array(sketches, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "digest", "keys", "sketch"],
             )
 
     return docs.select(id_col, text_col).mapInArrow(run, SIGNATURES)
@@ -207,7 +218,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
         texts = source.join(checked_broadcast(ids, n_ids, MOST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
         texts = scratch.keep(texts, "texts")
-        component = _link(scratch, members, pairs, texts, hundredths)
+        sketches = sig.select(F.col("doc_id").alias("doc"), "sketch").join(checked_broadcast(ids.withColumnRenamed("doc_id", "doc"), n_ids, MOST_IDS), "doc", "left_semi").dropDuplicates(["doc"])
+        component = _link(scratch, members, pairs, texts, scratch.keep(sketches, "sketches"), hundredths)
     out = sig.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     if component is not None:
         out = out.join(component.withColumnRenamed("doc", "rep"), "rep", "left")
@@ -222,7 +234,13 @@ def _sizes_allow(a: str, b: str, hundredths: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * hundredths
 
 
-def _link(scratch: Scratch, members: DataFrame, pairs: DataFrame, texts: DataFrame, hundredths: int) -> DataFrame | None:
+def _sketches_allow(a: str, b: str, sum_of_sizes, hundredths: int):
+    """Whether two parity sketches leave room for a link: the cells they differ in bound the sets' difference from below."""
+    differ = sum((F.bit_count(F.col(a)[i].bitwiseXOR(F.col(b)[i])) for i in range(LONGS)), F.lit(0))
+    return differ * (100 + hundredths) <= sum_of_sizes * (100 - hundredths)
+
+
+def _link(scratch: Scratch, members: DataFrame, pairs: DataFrame, texts: DataFrame, sketches: DataFrame, hundredths: int) -> DataFrame | None:
     """Rounds of stars until every bucket's members are in one component or compared."""
     centres = members.select("bucket", F.col("centre").alias("doc")).distinct()
     members = members.select("bucket", "doc", "size")
@@ -241,9 +259,13 @@ def _link(scratch: Scratch, members: DataFrame, pairs: DataFrame, texts: DataFra
         at = scratch.keep(at.join(alive, "bucket").select("bucket", "doc", "size", "comp", "most"), f"open-{k}")
         if at.isEmpty():
             return labels
-        outside = at.where("comp <> most").groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(CENTRES)).alias("part")).agg(F.min(F.struct("doc", "comp", "size")).alias("c"))
+        parts = CENTRES * GROWTH ** (k - 1)
+        outside = at.where("comp <> most").groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("part")).agg(F.min(F.struct("doc", "comp", "size")).alias("c"))
         new = scratch.keep(outside.select("bucket", F.col("c.doc").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.size").alias("centre_size")), f"centres-{k}")
-        edges = at.join(new, "bucket").where("doc <> centre and comp <> centre_comp").where(_sizes_allow("size", "centre_size", hundredths))
+        sketched = new.join(sketches.select(F.col("doc").alias("centre"), F.col("sketch").alias("centre_sketch")), "centre")
+        # Refuted inside the join: what it emits is close to the links.
+        edges = at.join(sketches, "doc").join(sketched, "bucket").where("doc <> centre and comp <> centre_comp").where(_sizes_allow("size", "centre_size", hundredths))
+        edges = edges.where(_sketches_allow("sketch", "centre_sketch", F.col("size") + F.col("centre_size"), hundredths))
         edges = edges.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = scratch.keep(edges.join(seen, ["a", "b"], "left_anti"), f"pairs-{k}")
         centres = scratch.keep(centres.unionByName(new.select("bucket", F.col("centre").alias("doc"))), f"all-centres-{k}")
