@@ -249,3 +249,16 @@ def test_quality_of_odd_rows_and_held_out_accuracy(spark, odd):
     assert sum(r.kept == (r.doc_id % 3 > 0) for r in apart) >= 0.97 * len(apart)
     assert quality.score_quality(docs.limit(0), model).count() == 0
     assert quality.keep_good(docs, model).columns == docs.columns
+
+
+def test_a_worker_holds_one_operators_caches():
+    from weft.llm import common
+
+    common.own_worker("minhash")
+    minhash.shingle_sets([b"a b c d e f"])
+    assert minhash._WORDS
+    common.own_worker("minhash")
+    assert minhash._WORDS
+    common.own_worker("packing")
+    assert not minhash._WORDS
+    assert minhash.shingle_sets([b"a b c d e f"])[0].tolist() == minhash.shingle_sets([b"a b c d e f"])[0].tolist()

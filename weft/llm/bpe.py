@@ -29,6 +29,8 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
+from weft.llm.common import own_worker, worker_cache
+
 _WS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The fixed pre-splitting pattern of the vocabulary, with white space spelled out.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
@@ -171,6 +173,9 @@ def automaton(path: str) -> tuple[Automaton, Generations, Generations]:
     return a, words, spaced
 
 
+worker_cache("bpe", automaton.cache_clear)
+
+
 def decimal_ids(text: str, path: str) -> str:
     """The ids of a text in decimal, joined by commas."""
     a, words, spaced = automaton(path)
@@ -195,6 +200,7 @@ def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_co
     """Every row's whole text encoded, then decoded from its ids. keep_ids: whether the ids themselves are returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("bpe")
         for batch in batches:
             n, enc, dec, kept = [], [], [], []
             label = automaton(path)[0].decimal

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -22,6 +25,32 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+_FORGET: dict[str, Callable[[], None]] = {}
+_OWNER: list[str] = []
+
+
+def worker_cache(owner: str, forget: Callable[[], None]) -> None:
+    """Names what empties the caches that an operator keeps in a Python worker between tasks."""
+    _FORGET[owner] = forget
+
+
+def own_worker(owner: str) -> None:
+    """Called as a task starts: workers are reused by later stages, so one holds the caches of one operator at a time."""
+    import pyarrow as pa
+
+    if _OWNER != [owner]:
+        for name, forget in _FORGET.items():
+            if name != owner:
+                forget()
+        _OWNER[:] = [owner]
+        gc.collect()
+        try:
+            ctypes.CDLL(None).malloc_trim(0)
+        except (AttributeError, OSError):  # not every C library can give memory back
+            pass
+    pa.default_memory_pool().release_unused()
+
+
 def shared_root(spark: SparkSession) -> str:
     """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")

@@ -19,6 +19,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from weft.llm.common import own_worker
+
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
 #: Side of the square to which an image is averaged, and of the block of low frequencies that is kept.
@@ -143,6 +145,7 @@ def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
     """One image a row, read back before its figures are taken. keep_media: whether the image's bytes are returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("media")
         for batch in batches:
             cols: list[list] = [[] for _ in range(8)]
             for raw in batch.column(1).cast(pa.binary()).to_pylist():

@@ -30,7 +30,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import Scratch, bounded_batches, checked_broadcast
+from weft.llm.common import Scratch, bounded_batches, checked_broadcast, own_worker, worker_cache
 
 SHINGLE, BANDS, ROWS = 5, 28, 6
 BINS = BANDS * ROWS
@@ -70,6 +70,7 @@ class WordHashes(dict):
 
 
 _WORDS = WordHashes()
+worker_cache("minhash", _WORDS.clear)
 
 
 def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> list[np.ndarray]:
@@ -130,6 +131,7 @@ SIGNATURES = "doc_id long, n_shingles long, digest binary, keys array<long>, ske
 
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("minhash")
         for batch in batches:
             sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
@@ -156,6 +158,7 @@ def confirm(pairs: DataFrame, texts: DataFrame, hundredths: int = LINKED) -> Dat
     """(a, b, linked) for pairs (a, b), on the full sets; texts has (doc_id, text) once an id."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("minhash")
         last, left = None, None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()

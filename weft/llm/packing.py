@@ -30,7 +30,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import Scratch, bounded_batches
+from weft.llm.common import Scratch, bounded_batches, own_worker, worker_cache
 
 CAPACITY, END = 2048, 0
 CHUNKS, WORDS = 300_000, 200_000
@@ -110,6 +110,9 @@ def word_ids(path: str) -> WordIds:
     return WordIds(path)
 
 
+worker_cache("packing", word_ids.cache_clear)
+
+
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -117,6 +120,7 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
     """One row a piece: its document's ids from start on, length of them, and their checksum."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("packing")
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import bounded_batches
+from weft.llm.common import bounded_batches, own_worker
 
 KINDS = ("email", "ip", "card", "phone")
 STATES = 1 + len(KINDS)
@@ -247,6 +247,7 @@ SCHEMA = "doc_id long, n_email long, n_ip long, n_card long, n_phone long, n_add
 
 def scan_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: str = "text", sure: float = SURE) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("pii")
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():

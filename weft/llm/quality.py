@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import bounded_batches
+from weft.llm.common import bounded_batches, own_worker
 
 LABELLED, POOL, ROUNDS, ADDED = 12_000, 6_000, 4, 300
 #: Probability from which a view is confident, and the combined probability from which a document is kept.
@@ -133,6 +133,7 @@ _USED = ("doc_id", "text", "lang", "source", "n_chars")
 
 def _sampled_views(docs: DataFrame, ids: DataFrame, extra: list[str]) -> list:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("quality")
         for batch in batches:
             text, meta = _views(batch)
             cols = [batch.column("doc_id").cast(pa.int64()), pa.array(list(text), pa.list_(pa.float64())), pa.array(list(meta), pa.list_(pa.float64())), *(batch.column(c).cast(pa.float64()) for c in extra)]
@@ -169,6 +170,7 @@ SCHEMA = "doc_id long, text_score double, meta_score double, quality_score doubl
 
 def score_quality(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("quality")
         for batch in batches:
             s = _scores(batch, model)
             yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), *(pa.array(c) for c in s.T.copy()), pa.array(s[:, 2] >= keep)], names=[f.split()[0] for f in SCHEMA.split(", ")])
@@ -180,6 +182,7 @@ def keep_good(docs: DataFrame, model: Model | None, keep: float = KEEP) -> DataF
     """The rows of docs that the classifier keeps, all columns as they are."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("quality")
         for batch in batches:
             yield batch.filter(pc.fill_null(pa.array(_scores(batch, model)[:, 2] >= keep), False))
 

@@ -19,6 +19,8 @@ import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
 
+from weft.llm.common import own_worker
+
 KINDS = ("assign", "access", "hex", "novel")
 # Fixed patterns of the contract.
 ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
@@ -117,6 +119,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     """Spans of every row's whole text; with redact also the text without them (null where the text is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("secret_scan")
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
@@ -135,6 +138,7 @@ def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "
     """docs with every secret replaced in its text; the count of characters follows where a text changed. Other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("secret_scan")
         for batch in batches:
             texts, at = batch.column(text_col).to_pylist(), batch.schema.get_field_index(text_col)
             clean = [t if not t or not (s := spans_of(t, bits)) else redacted(t, s) for t in texts]
