@@ -11,6 +11,7 @@ from weft.functions.text import DB_MARKS, ENTRY_POINTS
 from weft.operators import store
 from weft.operators.resolve import resolve_calls
 from weft.operators.stitch import stitch
+from weft.plans import source_queries
 from weft.plans import tools as t
 from weft.plans.sample_graph import sample_graph, with_views
 
@@ -231,3 +232,6 @@ def _nearest_handler(g):
 
 
 _add("nearest_handler", _nearest_handler, "SELECT r.source_file AS file, r.path, r.http_method, r.line, arg_min(m.fqn, (abs(m.line - r.line), m.line, m.fqn)) AS handler_fqn FROM (SELECT DISTINCT source_file, path, http_method, line FROM route_call) r JOIN method m ON m.file = r.source_file GROUP BY ALL")
+
+QUERIES |= source_queries.QUERIES
+ORACLE_SQL |= source_queries.ORACLE_SQL

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import hashlib
 import re
 
 from pyspark.sql import SparkSession
 
 from weft.operators.graph import Graph
+from weft.session import shared_root
 
 # View bodies, each of which may use the ones before it; {name} is a stored table.
 VIEWS: dict[str, str] = {
@@ -67,17 +69,21 @@ def with_views(select: str, dialect: str = "duckdb", recursive: bool = False) ->
     return f"WITH {'RECURSIVE ' if recursive else ''}{ctes}{', ' if recursive else ' '}{select}"
 
 
+COLUMNS = {
+    "file": "path, repo_id, language, module_name", "class_": "*", "method": "fqn, name, file, line, language, signature, source_code, class_fqn",
+    "calls": "src, dst, line, confidence", "imports": "*", "endpoint": "*", "route_call": "*", "routes_to": "*",
+}
+
+
 def sample_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    for t in TABLES:
-        spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"weft_{t}")
-    view = lambda name, cols="*": spark.sql(with_views(f"SELECT {cols} FROM {name}", "spark"))
-    return Graph(
-        file=view("file", "path, repo_id, language, module_name"),
-        class_=view("class_"),
-        method=view("method", "fqn, name, file, line, language, signature, source_code, class_fqn"),
-        calls=view("calls", "src, dst, line, confidence"),
-        imports=view("imports"),
-        endpoint=view("endpoint"),
-        route_call=view("route_call"),
-        routes_to=view("routes_to"),
-    )
+    """The graph derived from the test tables. As a graph is stored before it is asked, a session derives it once a folder, into
+    the shared folder; queries then scan those tables with pruned columns and pushed filters instead of deriving again in every branch."""
+    root = f"{shared_root(spark)}/weft-graph-{spark.sparkContext.applicationId}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    at = spark._jvm.org.apache.hadoop.fs.Path(root)
+    fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
+    if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{[*COLUMNS][-1]}/_SUCCESS")):
+        for t in TABLES:
+            spark.read.parquet(f"{sf_dir}/{t}.parquet").createOrReplaceTempView(f"weft_{t}")
+        for name, cols in COLUMNS.items():
+            spark.sql(with_views(f"SELECT {cols} FROM {name}", "spark")).write.mode("overwrite").parquet(f"{root}/{name}")
+    return Graph(**{name: spark.read.parquet(f"{root}/{name}") for name in COLUMNS})
