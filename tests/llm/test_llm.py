@@ -184,6 +184,30 @@ def test_katz_sums_to_one_and_equals_a_plain_version(spark, order):
         assert r.n_tokens == len(w)
 
 
+def test_good_turing_holds_where_single_discounts_are_out_of_range():
+    for counts in ((1579638, 246704, 51653, 21705, 18939, 7580), (193655, 25105, 6496, 2179, 2497, 618), (50, 20, 0, 6, 0, 0)):
+        d = katz.discounts({r: n for r, n in enumerate(counts, 1) if n})
+        assert (0 < d[1:-1]).all() and (np.diff(d[1:]) > 0).all() and d[-1] == 1
+        assert not np.allclose(d[1:-1], [1 - 0.5 / r for r in range(1, katz.K + 1)])
+    valid = {1: 1000, 2: 400, 3: 220, 4: 140, 5: 100, 6: 75}
+    assert abs(sum((1 - katz.discounts(valid)[r]) * r * valid[r] for r in range(1, katz.K + 1)) - 1000) < 1e-9
+    assert katz.discounts({1: 9})[1] == 0.5
+
+
+def test_katz_discounts_single_words_by_count(spark):
+    ids = [i for i in range(40) if zlib.crc32(str(i).encode()) % 7 != 2]
+    rows = [(i, " ".join(f"w{r}x{k}" for r, n in ((1, 40), (2, 15), (3, 8), (4, 5), (5, 6), (6, 2), (9, 1)) for k in range(n) if at < r)) for at, i in enumerate(ids)]
+    c = Counter(w for _, t in rows for w in [*t.split(), "</s>"])
+    total, of = sum(c.values()), Counter(c.values())
+    d = katz.discounts(of)
+    freed = sum((1 - d[r]) * r * of[r] for r in range(1, katz.K + 1))
+    p = lambda w: d[min(c[w], katz.K + 1)] * c[w] / total if c[w] else freed / total
+    assert abs(sum(p(w) for w in [*c, "never seen"]) - 1) < 1e-9
+    assert p("w1x0") / c["w1x0"] < p("w4x0") / c["w4x0"] < p("</s>") / c["</s>"]
+    for r in katz.score(spark, spark.createDataFrame(rows, "doc_id long, text string"), order=1).collect():
+        assert abs(r.score - sum(math.log10(p(w)) for w in [*dict(rows)[r.doc_id].split(), "</s>"])) < 1e-9
+
+
 def test_fingerprints_of_odd_rows(spark, odd):
     rows = {r.doc_id: r for r in fingerprints(spark, odd.dropDuplicates(["doc_id"])).collect()}
     assert len(rows) == len(ODD)

@@ -7,11 +7,13 @@ every block in the block's own order, so no n-gram travels once per occurrence.
 holds a bounded share.
 
 Model. With c the count of an n-gram and C that of its context, P(w | h) = d(c) c / C for c > 0, else alpha(h) P(w | h'), where
-h' drops h's first token; a context never seen passes on to h' directly. d is Good-Turing's discount up to K (1 beyond, and
-where the counts of counts give no valid discount the order falls back to absolute discounting by 1/2). alpha(h) is what
+h' drops h's first token; a context never seen passes on to h' directly. d is Good-Turing's discount up to K (1 beyond). Where
+the counts of counts as they are give a discount outside (0, 1), they are smoothed by a line in log-log scale first (Simple
+Good-Turing); what falls back to absolute discounting by 1/2 is an order whose line falls no steeper than 1/r or has
+fewer than two points, as no Good-Turing discount exists there. alpha(h) is what
 the discounts free, divided by the lower order's mass of the words not seen after h: seen sums are taken over all seen
-words, so the distribution over the vocabulary and one unknown token sums to one. The lowest order gives the unknown token
-Good-Turing's share. The recursion runs order by order: each block holds the lower order's probability of each of its tokens.
+words, so the distribution over the vocabulary and one unknown token sums to one. The lowest order discounts words by their
+counts alike and gives the unknown token what that frees (one occurrence where nothing is rare enough). The recursion runs order by order: each block holds the lower order's probability of each of its tokens.
 
 Single words so frequent that one partition can't hold their followers are, as contexts, spread over all partitions, and
 their partial sums are added up; there are at most HOT of them, whatever the input, as each has a HOT-th of all tokens.
@@ -161,16 +163,28 @@ class Block:
         return np.unique(h * np.uint64(0x94D049BB133111EB), return_inverse=True)
 
 
+def _smoothed(n: list[int]) -> list[float]:
+    """Simple Good-Turing's counts of counts: the line through log(n(r) / half the gap between r's non-empty neighbours) over log r."""
+    r = np.flatnonzero(n)
+    if len(r) < 2:
+        return [0.0] * len(n)
+    before = np.append(0, r[:-1])
+    after = np.append(r[1:], 2 * r[-1] - before[-1])
+    slope, at_one = np.polyfit(np.log(r), np.log(2 * np.array(n, np.float64)[r] / (after - before)), 1)
+    return [0.0, *np.exp(at_one + slope * np.log(np.arange(1, len(n)))).tolist()]
+
+
 def discounts(counts_of_counts: dict[int, int], k: int = K) -> np.ndarray:
     """d(0..k+1): factors by which counts up to k are multiplied; the last one stands for all larger counts."""
     n = [0] + [counts_of_counts.get(r, 0) for r in range(1, k + 2)]
     d = np.ones(k + 2)
-    if all(n[1:]):
-        tail = (k + 1) * n[k + 1] / n[1]
-        good = [((r + 1) * n[r + 1] / n[r] / r - tail) / (1 - tail) if tail < 1 else 0.0 for r in range(1, k + 1)]
-        if all(0 < g < 1 for g in good):
-            d[1 : k + 1] = good
-            return d
+    for m in (n, _smoothed(n)):
+        if all(m[1:]):
+            tail = (k + 1) * m[k + 1] / m[1]
+            good = [((r + 1) * m[r + 1] / m[r] / r - tail) / (1 - tail) if tail < 1 else 0.0 for r in range(1, k + 1)]
+            if all(0 < g < 1 for g in good):
+                d[1 : k + 1] = good
+                return d
     d[1 : k + 1] = [1 - 0.5 / r for r in range(1, k + 1)]
     return d
 
@@ -218,16 +232,19 @@ def _table(names: list[str], kinds: list, rows: list[tuple]) -> pa.Table:
 
 
 class Unigrams:
-    """The lowest order: words by their counts, and one unknown token with Good-Turing's share."""
+    """The lowest order: words by their discounted counts, and one unknown token with what the discounts free."""
 
     def __init__(self, stats: dict):
-        self.total, self.distinct, once = stats["total"], stats["distinct"], stats["counts"][1]
-        self.unknown = once / self.total if 0 < once < self.total else 1 / (self.total + 1)
+        self.total, self.distinct, self.d = stats["total"], stats["distinct"], discounts(stats["counts"])
+        freed = sum((1 - self.d[r]) * r * stats["counts"][r] for r in range(1, K + 1))
+        # Where no word is rare enough to be discounted, one occurrence more is the unknown token's.
+        self.whole = self.total if freed > 0 else self.total + 1
+        self.unknown = (freed if freed > 0 else 1) / self.whole
 
     def __call__(self, counts: np.ndarray) -> np.ndarray:
         if not self.total:
             return np.ones(len(counts))
-        return np.where(counts > 0, counts * ((1 - self.unknown) / self.total), self.unknown)
+        return np.where(counts > 0, self.d[np.minimum(counts, K + 1)] * counts / self.whole, self.unknown)
 
 
 def _scored(b: Block, counts: np.ndarray, p: np.ndarray, words: Unigrams) -> pa.Table:
