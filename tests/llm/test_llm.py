@@ -7,6 +7,7 @@ import random
 import zlib
 from collections import Counter
 
+import corpus_pipeline
 import numpy as np
 import public_tokenizers
 import pytest
@@ -224,6 +225,14 @@ def test_archives_come_back(spark, tmp_path):
     assert got == {1: (4, "response", None), 3: (4, "revisit", 1), 2: (0, "response", None), 5: (17, "response", None)}
 
 
+def test_the_pipeline_links_near_copies_from_four_fifths_on(spark):
+    words = [f"w{i}" for i in range(100)]
+    rows = [(1, " ".join(words)), (2, " ".join(words + [f"x{i}" for i in range(20)])), (3, " ".join(words + [f"y{i}" for i in range(28)]))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")  # 96 shingles shared of 116 (0.83), of 124 (0.77)
+    assert sorted(r.doc_id for r in corpus_pipeline.near_dedup(spark, df, "").collect()) == [1, 3]
+    assert all(r.kept for r in minhash.near_duplicates(spark, df).collect())
+
+
 def test_sketches_never_refute_a_link_and_hot_groups_equal_brute_force(spark):
     rng = random.Random(9)
     base = [f"w{rng.randrange(10**6)}" for _ in range(150)]
