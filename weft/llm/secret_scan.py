@@ -3,7 +3,8 @@
 Base spans come from three fixed patterns. The method adds spans: a string of key-like characters in a sensitive context
 is measured by the bytes it adds to the compressed form of the text around it. The compressor is primed with a dictionary
 made of identifiers and of the surrounding text, so words, identifiers and repeated strings cost next to nothing, whereas
-random keys cost nearly their own entropy. Candidates that cost at least ``BITS`` a character are reported.
+random keys cost nearly their own entropy. Candidates that cost at least ``BITS`` a character are reported, whatever their
+length; a run of letters that is made of pairs as in words is none, nor are digits alone, whose 3.3 bits at most are below ``BITS``.
 
 Defined results: null and empty texts have no spans. Spans are in code points, end exclusive. Added spans never overlap a
 base span or one another. Everything is per row, so repeated rows, ties and extra columns don't matter.
@@ -14,6 +15,7 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
+from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
@@ -28,8 +30,24 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Runs of key-like characters with at least MIN_NOVEL of them, and words near them that make a context sensitive.
 MIN_NOVEL, AROUND, BITS = 16, 96, 4.0
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{%d,512}(?![A-Za-z0-9+/_=-])" % MIN_NOVEL)
-SENSITIVE = re.compile(r"(?i)\b(?:pass(?:word|wd|phrase)?|pwd|secret|tokens?|credentials?|bearer|authorization|auth|api[_ -]?key|access[_ -]?key|private[_ -]?key|client[_ -]?secret|session[_ -]?key|signing[_ -]?key)\b")
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{%d,}+" % MIN_NOVEL)
+# A word starts and ends where letters do, or at a change of case as in secretKey and AWSSecret; '_' and digits bound it.
+_EDGE = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
+SENSITIVE = re.compile(
+    rf"(?:(?<![^\W\d_])|{_EDGE})(?i:pass(?:words?|wd|phrase)?|pwd|secrets?|tokens?|credentials?|bearer|authorization|auth"
+    r"|(?:api|access|private|secret|client|session|signing|encryption|master|account|storage|shared|service|deploy|ssh)[_ -]?(?:access[_ -]?)?keys?"
+    rf"|client[_ -]?secret)(?:(?![^\W\d_])|{_EDGE})"
+)
+# Longer runs are also measured piece by piece.
+PIECE = 512
+#: Pairs of letters that words are mostly made of; a string without digits is taken for words where WORDLIKE of its pairs are among them.
+WORDLIKE = 0.55
+PAIRS = frozenset(
+    "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la "
+    "ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi "
+    "ci vi pl ig tu ev ld ry mp fe bl ab gh ty op wo sa ay ex ke fr oo av ag if ap gr od bo sp rd do uc bu ei ov by rm ep tt oc fa ef cu rn sc gi da yo cr cl du ga qu "
+    "ue ff ba ey ls va um pp ua up lu go ht ru ug ds lt pi rc rr eg au ck ew mu br bi pt ak pu ui rg ib tl ny ki rk ys ob mm fu ph og ms ye ud mb ip ub oi rl gu dr hr".split()
+)
 _SENSITIVE_BYTES = (b"pass", b"pwd", b"secret", b"token", b"credential", b"bearer", b"auth", b"key")
 #: Identifiers that prime the compressor.
 IDENTIFIERS = (
@@ -67,25 +85,66 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]
     return found
 
 
+def wordlike(candidate: str) -> bool:
+    """Whether letters alone, apart from separators, are pairs as in words (or there are no letters and digits)."""
+    if any("0" <= c <= "9" for c in candidate):
+        return False
+    pairs = [x[i : i + 2] for x in re.findall(r"[a-z]+", candidate.lower()) for i in range(len(x) - 1)]
+    return sum(p in PAIRS for p in pairs) >= WORDLIKE * len(pairs)
+
+
+def _novel_parts(text: str, a: int, b: int, bits: float) -> list[tuple[int, int]]:
+    """The run if it reaches bits as a whole; of a longer one that doesn't, the joined pieces that do."""
+
+    def new(x: int, y: int) -> bool:
+        return novelty(text[x:y], text[max(0, x - 2048) : x] + " " + text[y : y + 2048]) >= bits
+
+    if new(a, b):
+        return [(a, b)]
+    found: list[tuple[int, int]] = []
+    for x in range(a, b, PIECE) if b - a > PIECE else ():
+        y = min(b, x + PIECE)
+        if y - x >= MIN_NOVEL and new(x, y):
+            found[-1:] = [(found[-1][0], y)] if found and found[-1][1] == x else [*found[-1:], (x, y)]
+    return found
+
+
 def novel_spans(text: str, raw: bytes, base: list[tuple[int, int, str]], bits: float = BITS) -> list[tuple[int, int, str]]:
-    """Key-like strings near a sensitive word that the primed compressor can't shorten."""
+    """Key-like strings near a sensitive word, or next lines of one found, that the primed compressor can't shorten."""
     low = raw.lower()
     if not any(k in low for k in _SENSITIVE_BYTES):
         return []
-    found, last = [], -1
-    for s in SENSITIVE.finditer(text):
-        lo, hi = max(s.start() - AROUND, last), s.end() + AROUND
-        for m in CANDIDATE.finditer(text, max(0, lo), min(len(text), hi + 512)):
-            a, b = m.span()
-            c = m[0]
-            if a > hi or a < last or any(a < e and x < b for x, e, _ in base):
-                continue
-            if not (any("0" <= ch <= "9" for ch in c) and any(ch.isalpha() for ch in c)) or len(set(c)) < 8:
-                continue
-            around = text[max(0, a - 2048) : a] + " " + text[b : b + 2048]
-            if novelty(c, around) >= bits:
-                found.append((a, b, "novel"))
-                last = b
+    near = [m.span() for m in SENSITIVE.finditer(text)]
+    if not near:
+        return []
+    found, last, i, j, base = [], -1, 0, 0, sorted(base)
+    reach = list(accumulate((e for _, e, _ in base), max))
+    for m in CANDIDATE.finditer(text):
+        a, b = m.span()
+        while i < len(near) and near[i][1] < a - AROUND:
+            i += 1
+        goes_on = 0 <= last and a - last <= 8 and text[last:a].isspace()
+        if not goes_on and (i == len(near) or near[i][0] > b + AROUND):
+            continue
+        # NAME=value is one run: what follows the name is the key, if it is long enough.
+        k = i
+        while k < len(near) and near[k][1] < b:
+            at = text.find("=", near[k][1], b) + 1 if near[k][0] >= a else 0
+            if at and b - at >= MIN_NOVEL:
+                a = at
+                break
+            k += 1
+        while j < len(base) and reach[j] <= a:
+            j += 1
+        if j < len(base) and base[j][0] < b:
+            continue
+        c = text[a:b]
+        if wordlike(c) or not any(ch.isalpha() for ch in c):
+            continue
+        parts = _novel_parts(text, a, b, bits)
+        if parts:
+            found += [(x, y, "novel") for x, y in parts]
+            last = parts[-1][1]
     return found
 
 
