@@ -128,6 +128,19 @@ def test_personal_data_and_its_repeats():
     assert [(pii.KINDS[k], t[a:b]) for k, a, b in pii.added_spans(t, base, field)] == [("phone", "13755554393")]
 
 
+def test_short_forms_of_numbers_whole_training_texts_and_texts_without_base_spans(monkeypatch):
+    field = pii.train([f"mail a{i}@b.example.com or +1 (375) 555-43{i:02d} version 2.0 of 19{i:02d}" for i in range(60)])
+    added = lambda t: [(pii.KINDS[k], t[a:b]) for k, a, b in pii.added_spans(t, pii.base_spans(t, t.encode()), field)]
+    for short in ("(375) 555-4393", "375-555-4393", "375 555 4393", "555-4393"):
+        assert added(f"call +1 (375) 555-4393 from home, at work it is {short} or none, in 1999") == [("phone", short)]
+    assert added("call +1 (375) 555-4393 from home, at work it is (375) 555-4394") == []
+    assert "last9" in pii._excerpt(" ".join(f"w{i}" for i in range(300)) + " last9")
+    calls, marginals = [], pii.Field.marginals
+    monkeypatch.setattr(pii.Field, "marginals", lambda self, c: calls.append(c) or marginals(self, c))
+    pii.added_spans("ref 5554393 and again 5554393", [], field)
+    assert len(calls) == 1
+
+
 def components(sets, hundredths=85):
     root = {i: i for i in sets}
 

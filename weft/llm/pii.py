@@ -2,7 +2,7 @@
 
 Variables are the tokens with a digit or an at sign, in text order; states are none and the four kinds. Potentials:
 a log-linear one on a token's shape, one between neighbours in the chain, and a skip potential between tokens of one
-document that are repeated or similar (same digits, or same letters and digits in lower case). Tokens inside base spans
+document that are repeated or similar (same digits, digits that another's end in, or same letters and digits in lower case). Tokens inside base spans
 are evidence. Damped loopy sum-product message passing gives each token's marginals; repeated tokens
 that agree with an observed entity are added. Repeats are joined occurrence to occurrence, so edges grow with the
 tokens, not with their square, and messages run over all edges of a document at once.
@@ -38,6 +38,10 @@ DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
 IP = re.compile(r"(?<![0-9])([0-9]++)\.([0-9]++)\.([0-9]++)\.([0-9]++)")
 CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
+DIGITS = re.compile(r"[0-9]+")
+# What may stand between the digit groups of one number, and the digits a number must share from its end to be taken for another's short form.
+GAP = re.compile(r"[\x20().-]{1,3}")
+TAIL, MOST_GROUPS = 7, 19
 TOKEN = re.compile(r"[^\s,;:!?\"'<>]*[0-9@][^\s,;:!?\"'<>]*")
 _DIGITS = bytes(48 if 48 <= c < 58 else 32 for c in range(256))
 
@@ -101,20 +105,52 @@ def similar_key(token: str) -> str | None:
     return word if "@" in token and len(word) >= 5 else None
 
 
+def short_forms(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int]]:
+    """Spans outside of base spans whose digits, over several groups, are the last TAIL or more of a card or phone in base."""
+    tails = {d[i:] for k, s, e in base if k >= 2 for d in ["".join(DIGITS.findall(text[s:e]))] for i in range(len(d) - TAIL + 1)}
+    if not tails:
+        return []
+    marks, found, j, i = sorted((s, e) for _, s, e in base), [], 0, 0
+    groups = [m.span() for m in DIGITS.finditer(text)]
+    while i < len(groups):
+        digits, best = "", 0
+        for n, (a, b) in enumerate(groups[i : i + MOST_GROUPS], 1):
+            if (n > 1 and not GAP.fullmatch(text, groups[i + n - 2][1], a)) or len(digits) + b - a > 19:
+                break
+            digits += text[a:b]
+            if n > 1 and digits in tails:
+                best = n
+        if best:
+            a, b = groups[i][0], groups[i + best - 1][1]
+            a -= a > 0 and text[a - 1] == "(" and ")" in text[a:b]
+            while j < len(marks) and marks[j][1] <= a:
+                j += 1
+            if not any(s < b and a < e for s, e in marks[j : j + len(KINDS)]):
+                found.append((a, b))
+                i += best - 1
+        i += 1
+    return found
+
+
 class Chain:
     """Variables, evidence and edges of one document."""
 
     def __init__(self, text: str, base: list[tuple[int, int, int]]):
         marks, found, j = sorted((s, e, k + 1) for k, s, e in base), [], 0
+        short, h = short_forms(text, base), 0
         for m in TOKEN.finditer(text):
             word = m[0].strip(".()[]{}")
             start = m.start() + m[0].index(word) if word else m.end()
             while j < len(marks) and marks[j][1] <= start:
                 j += 1
+            while h < len(short) and short[h][1] <= start:
+                h += 1
+            if h < len(short) and short[h][0] < start + len(word):
+                continue
             if word and not any(s < start + len(word) and start < e for s, e, _ in marks[j : j + len(KINDS)]):
                 found.append((start, start + len(word), 0))
         # A base span is one variable, observed; what lies outside of them is open.
-        found = sorted(marks + found)
+        found = sorted(marks + found + [(s, e, 0) for s, e in short])
         self.spans, self.tokens = [(s, e) for s, e, _ in found], [text[s:e] for s, e, _ in found]
         n, self.known = len(found), np.array([k or -1 for *_, k in found], np.int64)
         ends = np.array([e for _, e in self.spans], np.int64)
@@ -122,13 +158,20 @@ class Chain:
         near = np.flatnonzero(starts[1:] - ends[:-1] <= 24) if n else np.zeros(0, np.int64)
         self.chain = np.stack([near, near + 1], axis=1)
         last: dict[str, int] = {}
+        tails: dict[str, int] = {}
         skip = []
         for i, t in enumerate(self.tokens):
             key = similar_key(t)
             if key is not None:
                 if key in last:
                     skip.append((last[key], i))
+                elif key.isdigit() and (other := tails.get(key[-TAIL:])) is not None:
+                    of = similar_key(self.tokens[other])
+                    if min(len(key), len(of)) >= TAIL and (key.endswith(of) or of.endswith(key)):
+                        skip.append((other, i))
                 last[key] = i
+                if key.isdigit():
+                    tails[key[-TAIL:]] = i
         self.skip = np.array(skip, np.int64).reshape(-1, 2)
 
 
@@ -201,8 +244,6 @@ def train(texts: list[str], ridge: float = 1e-3) -> Field:
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, sure: float = SURE) -> list[tuple[int, int, int]]:
     """Tokens outside base spans that a repeated or similar token pulls to an entity's label."""
-    if not base:
-        return []
     c = Chain(text, base)
     if not len(c.skip) or (c.known >= 0).all():
         return []
@@ -236,7 +277,7 @@ def _excerpt(text: str) -> str:
     """The text without the stretches that hold no token; longer gaps stay longer than what joins neighbours."""
     c = Chain(text, [])
     out, at = [], 0
-    for a, b in c.spans[:200]:
+    for a, b in c.spans:
         out.append(text[max(at, a - 48) : b] if a - at <= 96 else text[at : at + 48] + " " + text[a - 48 : b])
         at = b
     return "".join([*out, text[at : at + 48]])
@@ -252,7 +293,7 @@ def scan_pii(docs: DataFrame, field: Field, id_col: str = "doc_id", text_col: st
             cols: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
                 base = base_spans(text, text.encode("utf-8", "replace")) if text else []
-                more = added_spans(text, base, field, sure) if base else []
+                more = added_spans(text, base, field, sure) if text else []
                 row = (*(sum(k == i for k, _, _ in base) for i in range(4)), len(more), hashlib.sha256(joined(base).encode()).hexdigest(), joined(sorted(base + more)))
                 for col, v in zip(cols, row, strict=True):
                     col.append(v)
