@@ -1,6 +1,7 @@
 """Operators of the subpackage on small and awkward inputs, against brute force, libraries and round trips."""
 
 import hashlib
+import json
 import math
 import os
 import random
@@ -328,3 +329,43 @@ def test_a_worker_holds_one_operators_caches():
     common.own_worker("packing")
     assert not minhash._WORDS
     assert minhash.shingle_sets([b"a b c d e f"])[0].tolist() == minhash.shingle_sets([b"a b c d e f"])[0].tolist()
+
+
+def test_packing_equals_the_library_on_a_whole_table(spark):
+    """Every column of pack() but the sequence numbers against plain Python; sequences are gapless, within capacity and few."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+    library = Tokenizer.from_file(path)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    docs = docs.unionByName(spark.createDataFrame([(10**9, None), (10**9 + 1, "word " * 5000), (10**9 + 2, "z" * 3000)], docs.schema))
+    want = {}
+    for r in docs.collect():
+        ids = np.array([*library.encode(r.text or "", add_special_tokens=False).ids, 0], "<u4")
+        for k, at in enumerate(range(0, len(ids), 2048)):
+            part = ids[at : at + 2048]
+            want[r.doc_id, k] = (at, len(part), zlib.crc32(part.tobytes()))
+    rows = packing.pack(spark, docs, path).collect()
+    assert {(r.doc_id, r.piece): (r.start, r.length, r.ids_crc32) for r in rows} == want and len(rows) == len(want)
+    places = {}
+    for r in rows:
+        places.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for p in places.values():
+        at = 0
+        for offset, n in sorted(p):
+            assert offset == at
+            at += n
+        assert at <= 2048
+    assert len(places) <= -(-sum(n for _, n, _ in want.values()) // 2048) * 1.03 + 1
+
+
+def test_merging_by_rank_is_used_only_where_it_is_the_same(tmp_path):
+    path = public_tokenizers.path("word_bpe_49k.json")
+    assert packing.ranked_merges(path) == packing._joined_merges(path)
+    spec = json.load(open(path, encoding="utf-8"))
+    merges = spec["model"]["merges"]
+    merges[10], merges[5000] = merges[5000], merges[10]
+    other = tmp_path / "other.json"
+    other.write_text(json.dumps(spec))
+    assert packing.ranked_merges(str(other)) is None
+    library, texts = Tokenizer.from_file(str(other)), random_texts(60)
+    for t, got in zip(texts, packing.word_ids(str(other)).encode_batch(texts), strict=True):
+        assert np.frombuffer(got, "<u4").tolist() == library.encode(t, add_special_tokens=False).ids

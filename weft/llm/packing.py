@@ -1,7 +1,7 @@
 """Best-fit packing of token pieces into sequences of a fixed capacity, large items matched in pairs.
 
-Tokens. White-space chunks are tokenized by the tokenizers library through a two-generation cache, which is exact because
-the vocabulary's pre-splitting never crosses white space. Every document ends in token 0; only documents longer than the
+Tokens. White-space chunks are tokenized as by the tokenizers library through a two-generation cache, which is exact because
+the vocabulary's pre-splitting never crosses white space; new chunks are merged by rank, which is checked to be the same. Every document ends in token 0; only documents longer than the
 capacity are cut.
 
 Packing. Piece lengths are whole numbers up to the capacity, so the whole input is summed up by one histogram whose size
@@ -19,95 +19,144 @@ from __future__ import annotations
 
 import bisect
 import functools
+import json
 import re
-import unicodedata
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.llm.common import Scratch, bounded_batches, own_worker, worker_cache
 
 CAPACITY, END = 2048, 0
-CHUNKS, WORDS = 300_000, 200_000
+#: Chunks of a cache generation; a longer chunk than LONG goes to the library.
+CHUNKS, LONG = 300_000, 1_000
 #: Pieces of one slice of one length, roughly: ranks are taken within such slices.
 SLICE_ROWS = 2_000
-# The fixed pre-splitting pattern of the vocabulary.
-SPLIT = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+")
+# The vocabulary's fixed pre-splitting pattern, for characters of which \\w tells letters from the rest.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
 _ODD = re.compile("[\x1c-\x1f]|<\\|")
-_PLAIN = re.compile("[\x00-ɏ]*")
+_PLAIN = re.compile("[\x03-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
+#: The byte that stands for the end of a word; chunks that hold it are not plain.
+_STOP = "\x02"
+# Names of the vocabulary file that quick_ids can take over.
+_SUFFIX, _NORMAL, _PATTERN = "</w>", ("NFC", "Replace", "Lowercase"), "'s|'t|'re|'ve|'m|'ll|'d|[\\p{L}]+|[\\p{N}]|[^\\s\\p{L}\\p{N}]+"
+
+
+def _alphabet() -> dict[str, int]:
+    """The printable character that stands for each byte in byte-level vocabularies."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in set(plain)]
+    return {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+
+
+@functools.lru_cache(maxsize=4)
+def ranked_merges(path: str) -> list[bytes] | None:
+    """The byte strings of the merges in order, if merging by the rank of the joined string is the same as merging by pairs.
+
+    That is so if no two merges join to the same string, each joins tokens made before it, and every token's own string is
+    merged into that token: then, once all merges before a token's are done, its string inside any word stands as the
+    token's own pair or is cut by a token that crosses its ends. None where one of these, or the way words are split, doesn't hold.
+    """
+    from tokenizers import Tokenizer, models
+
+    spec = json.load(open(path, encoding="utf-8"))
+    model, normal, split = spec["model"], spec.get("normalizer") or {}, spec.get("pre_tokenizer") or {}
+    parts = split.get("pretokenizers", [])
+    if model.get("type") != "BPE" or model.get("end_of_word_suffix") != _SUFFIX or any(model.get(k) for k in ("dropout", "unk_token", "continuing_subword_prefix", "byte_fallback", "ignore_merges")):
+        return None
+    if tuple(n["type"] for n in normal.get("normalizers", [])) != _NORMAL or [x["type"] for x in parts] != ["Split", "ByteLevel"] or parts[0]["pattern"].get("Regex") != _PATTERN:
+        return None
+    # The end of a word as one more symbol, joined to a word's last byte before all else.
+    stop, chars = chr(0x250), _alphabet()
+    named = lambda t: t[: -len(_SUFFIX)] + stop if t.endswith(_SUFFIX) else t
+    merges = [tuple(m) if isinstance(m, list) else tuple(m.split(" ")) for m in model["merges"]]
+    pairs = [(c, stop) for c in chars] + [(named(a), named(b)) for a, b in merges]
+    made = {c: -1 for c in [*chars, stop]}
+    for i, (a, b) in enumerate(pairs):
+        if a + b in made or a not in made or b not in made:
+            return None
+        made[a + b] = i
+    names = list(made)
+    own = Tokenizer(models.BPE(vocab={t: i for i, t in enumerate(names)}, merges=pairs))
+    if any(e.ids != [i] for i, e in enumerate(own.encode_batch_fast(names, add_special_tokens=False))):
+        return None
+    raw = chars | {stop: ord(_STOP)}
+    return [bytes(raw[c] for c in a + b) for a, b in pairs]
 
 
 class WordIds:
-    """Ids of texts as little-endian 32-bit numbers, through caches of white-space chunks and of words."""
+    """Ids of texts as little-endian 32-bit numbers, through a cache of white-space chunks.
+
+    Chunks that aren't known yet go together through a merger by ranks, which gives the library's ids (ranked_merges) at a
+    fraction of its time; where ranks won't do, and for chunks with characters beyond the plain ones, the library itself is asked.
+    """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, merges: list[bytes] | None = None):
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
         self.library.no_truncation()
         self.library.no_padding()
-        vocab = self.library.get_vocab()
-        self.ends = np.zeros(max(vocab.values()) + 1, bool)
-        self.ends[[i for t, i in vocab.items() if t.endswith("</w>")]] = True
-        self.words, self.old_words, self.chunks, self.old_chunks = {}, {}, {}, {}
+        self.chunks, self.old_chunks, self.quick = {}, {}, None
+        if merges:
+            import tiktoken
+
+            ranks = {bytes([b]): b for b in range(256)} | {m: 256 + i for i, m in enumerate(merges)}
+            self.quick = tiktoken.Encoding("words", pat_str=rf"[^{_STOP} ]+{_STOP}| ", mergeable_ranks=ranks, special_tokens={})
+            chars = {b: c for c, b in _alphabet().items()}
+            vocab = self.library.get_vocab()
+            spelt = lambda m: "".join(chars[b] for b in m.removesuffix(_STOP.encode())) + _SUFFIX * m.endswith(_STOP.encode())
+            self.ids = np.array([vocab.get(spelt(m), 0) for m in ranks], "<u4")
 
     def direct(self, text: str) -> bytes:
         return np.array(self.library.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
-    def learn(self, chunks: set[str]) -> None:
-        """Puts the ids of new chunks into the cache; unknown words go to the library together."""
-        split, unknown = {}, {}
+    def learn(self, chunks: list[str]) -> None:
+        """Puts the ids of new chunks into the cache."""
+        known, old, new = self.chunks, self.old_chunks, []
         for c in chunks:
-            if c in self.old_chunks:
-                self.chunks[c] = self.old_chunks[c]
-            elif not _PLAIN.fullmatch(c):
-                self.chunks[c] = self.direct(c)
+            if c in old:
+                known[c] = old[c]
+            elif self.quick is None or len(c) > LONG or not _PLAIN.fullmatch(c):
+                known[c] = self.direct(c)
             else:
-                split[c] = words = SPLIT.findall(unicodedata.normalize("NFC", c).lower())
-                for w in words:
-                    if w not in self.words:
-                        if w in self.old_words:
-                            self.words[w] = self.old_words[w]
-                        else:
-                            unknown[w] = None
-        if unknown:
-            names = list(unknown)
-            ids = np.array(self.library.encode(" ".join(names), add_special_tokens=False).ids, "<u4")
-            stops = np.flatnonzero(self.ends[ids]) + 1
-            if len(stops) == len(names):
-                data, at = ids.tobytes(), 0
-                for w, stop in zip(names, (stops * 4).tolist(), strict=True):
-                    self.words[w] = data[at:stop]
-                    at = stop
-            else:
-                self.words.update((w, self.direct(w)) for w in names)
-        for c, words in split.items():
-            self.chunks[c] = b"".join([self.words[w] for w in words])
-
-    def trim(self) -> None:
-        if len(self.chunks) > CHUNKS:
-            self.chunks, self.old_chunks = {}, self.chunks
-        if len(self.words) > WORDS:
-            self.words, self.old_words = {}, self.words
+                new.append(c)
+        if not new:
+            return
+        ranks = np.array(self.quick.encode_ordinary(SPLIT.sub(rf"\g<0>{_STOP}", " ".join(new).lower())), np.int64)
+        gaps = np.flatnonzero(ranks == ord(" "))
+        data, at = self.ids[np.delete(ranks, gaps)].tobytes(), 0
+        for c, stop in zip(new, [*((gaps - np.arange(len(gaps))) * 4).tolist(), len(data)], strict=True):
+            known[c] = data[at:stop]
+            at = stop
 
     def encode_batch(self, texts: list[str]) -> list[bytes]:
         parts = [None if _ODD.search(t) else t.split() for t in texts]
-        known = self.chunks.keys()
-        self.learn({c for p in parts if p for c in p if c not in known})
-        get = self.chunks.__getitem__
+        known = self.chunks
+        self.learn([c for c in {c for p in parts if p for c in p} if c not in known])
+        get = known.__getitem__
         out = [self.direct(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
-        self.trim()
+        if len(known) > CHUNKS:
+            self.chunks, self.old_chunks = {}, known
         return out
 
 
 @functools.lru_cache(maxsize=2)
-def word_ids(path: str) -> WordIds:
-    return WordIds(path)
+def word_ids(path: str, ranked: bool | None = None) -> WordIds:
+    """ranked: whether the merges are known to work by rank; asked of the file if not given."""
+    return WordIds(path, ranked_merges(path) if ranked is None else _joined_merges(path) if ranked else None)
+
+
+def _joined_merges(path: str) -> list[bytes]:
+    """ranked_merges of a file that was checked before, without the check."""
+    chars, stop = _alphabet(), _STOP.encode()
+    raw = lambda t: bytes(chars[c] for c in t.removesuffix(_SUFFIX)) + stop * t.endswith(_SUFFIX)
+    merges = json.load(open(path, encoding="utf-8"))["model"]["merges"]
+    return [bytes([b]) + stop for b in chars.values()] + [raw(a) + raw(b) for a, b in (m if isinstance(m, list) else m.split(" ") for m in merges)]
 
 
 worker_cache("packing", word_ids.cache_clear)
@@ -119,13 +168,15 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row a piece: its document's ids from start on, length of them, and their checksum."""
 
+    ranked = ranked_merges(path) is not None
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("packing")
         end = np.array([END], "<u4").tobytes()
         for batch in batches:
             rows: list[tuple] = []
             ids = batch.column(0).to_pylist()
-            for doc, data in zip(ids, word_ids(path).encode_batch([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc, data in zip(ids, word_ids(path, ranked).encode_batch([t or "" for t in batch.column(1).to_pylist()]), strict=True):
                 data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
