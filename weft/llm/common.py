@@ -5,8 +5,9 @@ from __future__ import annotations
 import ctypes
 import gc
 import uuid
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -25,6 +26,19 @@ def bounded_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
 
 
+def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.RecordBatch]:
+    """Joins batches until they hold size bytes, so what is done once a batch is done less often."""
+    held, held_size = [], 0
+    for batch in batches:
+        if held and held_size + batch.nbytes > size:
+            yield pa.concat_batches(held)
+            held, held_size = [], 0
+        held.append(batch)
+        held_size += batch.nbytes
+    if held:
+        yield pa.concat_batches(held)
+
+
 _FORGET: dict[str, Callable[[], None]] = {}
 _OWNER: list[str] = []
 
@@ -36,8 +50,6 @@ def worker_cache(owner: str, forget: Callable[[], None]) -> None:
 
 def own_worker(owner: str) -> None:
     """Called as a task starts: workers are reused by later stages, so one holds the caches of one operator at a time."""
-    import pyarrow as pa
-
     if _OWNER != [owner]:
         for name, forget in _FORGET.items():
             if name != owner:

@@ -26,19 +26,23 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from weft.llm.common import Scratch, bounded_batches, own_worker, worker_cache
+from weft.llm.common import Scratch, bounded_batches, gathered, own_worker, worker_cache
 
 CAPACITY, END = 2048, 0
 #: Chunks of a cache generation; a longer chunk than LONG goes to the library.
 CHUNKS, LONG = 300_000, 1_000
+#: Bytes of texts whose chunks are told apart together: the more, the fewer of them are looked up.
+GATHERED = 4 << 20
 #: Pieces of one slice of one length, roughly: ranks are taken within such slices.
 SLICE_ROWS = 2_000
 # The vocabulary's fixed pre-splitting pattern, for characters of which \\w tells letters from the rest.
 SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\w\s]|_)+")
-_ODD = re.compile("[\x1c-\x1f]|<\\|")
+#: Texts that are not cut at white space: separators that the vocabulary takes for text, and the start of a special token.
+_ODD = r"[\x1c-\x1f]|<\|"
 _PLAIN = re.compile("[\x03-\xb1\xb4-\xb8\xba\xbb\xbf-ɏ]*")
 #: The byte that stands for the end of a word; chunks that hold it are not plain.
 _STOP = "\x02"
@@ -117,29 +121,42 @@ class WordIds:
 
     def learn(self, chunks: list[str]) -> None:
         """Puts the ids of new chunks into the cache."""
-        known, old, new = self.chunks, self.old_chunks, []
-        for c in chunks:
-            if c in old:
-                known[c] = old[c]
-            elif self.quick is None or len(c) > LONG or not _PLAIN.fullmatch(c):
-                known[c] = self.direct(c)
-            else:
-                new.append(c)
-        if not new:
-            return
-        ranks = np.array(self.quick.encode_ordinary(SPLIT.sub(rf"\g<0>{_STOP}", " ".join(new).lower())), np.int64)
-        gaps = np.flatnonzero(ranks == ord(" "))
-        data, at = self.ids[np.delete(ranks, gaps)].tobytes(), 0
-        for c, stop in zip(new, [*((gaps - np.arange(len(gaps))) * 4).tolist(), len(data)], strict=True):
-            known[c] = data[at:stop]
-            at = stop
-
-    def encode_batch(self, texts: list[str]) -> list[bytes]:
-        parts = [None if _ODD.search(t) else t.split() for t in texts]
+        known, old = self.chunks, self.old_chunks
+        again = [c for c in chunks if c in old]
+        known.update(zip(again, map(old.__getitem__, again), strict=True))
+        new = [c for c in chunks if c not in known]
+        if self.quick is None or max(map(len, new), default=0) > LONG or not _PLAIN.fullmatch("".join(new)):
+            odd = [c for c in new if self.quick is None or len(c) > LONG or not _PLAIN.fullmatch(c)]
+            known.update((c, self.direct(c)) for c in odd)
+            new = [c for c in new if c not in known]
+        if new:
+            ranks = np.array(self.quick.encode_ordinary(SPLIT.sub(rf"\g<0>{_STOP}", " ".join(new).lower())), np.int64)
+            gaps = np.flatnonzero(ranks == ord(" "))
+            data, stops = self.ids[np.delete(ranks, gaps)].tobytes(), [*((gaps - np.arange(len(gaps))) * 4).tolist(), 4 * (len(ranks) - len(gaps))]
+            known.update(zip(new, map(data.__getitem__, map(slice, [0, *stops[:-1]], stops)), strict=True))
+
+    def encode_batch(self, texts: pa.Array | list[str]) -> list[bytes]:
+        """The ids of each text. Chunks are split and told apart by Arrow, so Python sees each one of a batch once."""
+        texts = pc.fill_null(pa.array(texts, pa.string()) if isinstance(texts, list) else texts.cast(pa.string()), "")
+        odd = pc.match_substring_regex(texts, _ODD)
+        lists = pc.utf8_split_whitespace(pc.if_else(odd, "", texts))
+        coded = pc.list_flatten(lists).dictionary_encode()
+        # Splitting leaves an empty string before or after white space at a text's ends; it has no ids.
+        names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
         known = self.chunks
-        self.learn([c for c in {c for p in parts if p for c in p} if c not in known])
-        get = known.__getitem__
-        out = [self.direct(t) if p is None else b"".join(map(get, p)) for t, p in zip(texts, parts, strict=True)]
+        known[""] = b""
+        self.learn([c for c in names if c not in known])
+        ids = [known[c] for c in names]
+        pool = np.frombuffer(b"".join(ids), "<u4")
+        sizes = np.fromiter(map(len, ids), np.int64, len(ids)) // 4
+        places, at = np.cumsum(sizes) - sizes, coded.indices.to_numpy()
+        counts = sizes[at]
+        ends = np.cumsum(counts)
+        tokens = pool[np.repeat(places[at] - (ends - counts), counts) + np.arange(counts.sum())].tobytes()
+        bounds = (4 * np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()]).tolist()
+        out = [tokens[a:b] for a, b in zip(bounds, bounds[1:])]
+        for i in np.flatnonzero(odd.to_numpy(zero_copy_only=False)).tolist():
+            out[i] = self.direct(texts[i].as_py())
         if len(known) > CHUNKS:
             self.chunks, self.old_chunks = {}, known
         return out
@@ -173,10 +190,9 @@ def token_pieces(docs: DataFrame, path: str, capacity: int = CAPACITY, id_col: s
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("packing")
         end = np.array([END], "<u4").tobytes()
-        for batch in batches:
+        for batch in gathered(batches, GATHERED):
             rows: list[tuple] = []
-            ids = batch.column(0).to_pylist()
-            for doc, data in zip(ids, word_ids(path, ranked).encode_batch([t or "" for t in batch.column(1).to_pylist()]), strict=True):
+            for doc, data in zip(batch.column(0).to_pylist(), word_ids(path, ranked).encode_batch(batch.column(1)), strict=True):
                 data += end
                 for k, at in enumerate(range(0, len(data), 4 * capacity)):
                     part = data[at : at + 4 * capacity]
