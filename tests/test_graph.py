@@ -9,10 +9,11 @@ from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from weft.operators import store
-from weft.operators.paths import on_cycle, reachable, safe_depth, trails
+from weft.operators.paths import leading_back, on_cycle, reachable, safe_depth, shallowest, trails
 from weft.operators.resolve import resolve_calls
 from weft.operators.stitch import new_edges, stitch
 from weft.plans.catalog import ORACLE_SQL
+from weft.session import Scratch
 
 SF = "/root/testdata/sf0.001"
 
@@ -28,6 +29,38 @@ def test_a_diamond_has_two_trails_and_a_cycle_comes_back_to_its_root(spark):
     assert [(r.node, r.depth) for r in c.orderBy("depth").collect()] == [("b", 1), ("c", 2), ("a", 3)]
 
 
+def test_ways_back_are_found_up_to_their_length(spark):
+    ring = lambda n: [(f"r{n}_{i}", f"r{n}_{(i + 1) % n}", 1.0) for i in range(n)]
+    e = edges(spark, [*ring(2), *ring(3), *ring(6), *ring(7), ("x", "r2_0", 1.0), ("r3_0", "y", 1.0), ("z", "z", 1.0)])
+    got = {(r.src, r.dst) for r in leading_back(e, 5).collect()}
+    assert got == {(a, b) for n in (2, 3, 6) for a, b, _ in ring(n)}
+
+
+def test_the_shallowest_trails_stop_at_their_number(spark):
+    e = edges(spark, [("a", f"b{i}", 1.0) for i in range(5)] + [(f"b{i}", f"c{j}", 1.0) for i in range(5) for j in range(5)] + [("c0", "d", 1.0), ("d", "e", 1.0)])
+    names = spark.createDataFrame([(x,) for x in ["a", *(f"b{i}" for i in range(5)), *(f"c{i}" for i in range(5)), "d", "e"]], "node string")
+    counts = lambda most: dict(shallowest(Scratch(spark, "test"), e, names, F.col("from_") == "a", 5, most).groupBy("depth").count().collect())
+    assert counts(10) == {1: 5, 2: 25} and counts(1000) == {1: 5, 2: 25, 3: 5, 4: 5}
+
+
+def test_a_batch_shows_all_its_tables_at_once_or_none(spark, tmp_path):
+    s = store.Snapshots(spark, f"file://{tmp_path}/graph")
+    rows = spark.createDataFrame([("a", "r"), ("b", "r"), ("b", "r")], "fqn string, repo_id string")
+    with s.batch():
+        s.write("method", rows.limit(2))
+        s.write("class_", rows.limit(1))
+        assert store.Snapshots(spark, s.root).read("method") is None
+    assert (s.read("method").count(), s.read("class_").count()) == (2, 1)
+    with pytest.raises(RuntimeError), s.batch():
+        s.write("method", rows.limit(1))
+        raise RuntimeError
+    assert s.read("method").count() == 2
+    for _ in range(3):
+        s.write("method", rows)
+    assert s.retain(1) == 4 and s.read("method").count() == 3 and s.read("class_").count() == 1
+    assert [(r.fqn, r.rows) for r in store.repeated_keys(s.read("method"), "method").collect()] == [("b", 2)]
+
+
 def test_a_loop_is_used_once_and_is_no_cycle_by_itself(spark):
     e = edges(spark, [("a", "a", 1.0), ("a", "b", 1.0)])
     assert sorted((r.node, r.depth) for r in trails(e, F.col("from_") == "a", 5).collect()) == [("a", 1), ("b", 1), ("b", 2)]

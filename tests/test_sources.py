@@ -93,7 +93,8 @@ def test_ingest_is_incremental(spark, repo, tmp_path):
     assert main(["ingest", *args], spark)["tables"] == []
     rows = {r.dst.rsplit(".", 1)[-1]: r.confidence for r in store.read("calls").collect()}
     assert rows == {"helper": 1.0, "nowhere": 0.2, "fetch": 0.2}
-    assert main(["stitch", *args], spark) == {"parameterized": 2}
+    assert main(["stitch", *args], spark) == {"exact_matches": 0, "param_matches": 2, "unmatched_calls": 0, "total_edges_created": 2}
+    assert main(["stitch", *args], spark)["total_edges_created"] == 0
     (repo / "main.py").write_text("from lib.util import helper\n\ndef begin():\n    helper()\n")
     main(["ingest", *args], spark)
     assert names(store, "method", "name") == ["begin", "helper", "load", "user"]
@@ -117,12 +118,93 @@ def test_guard_and_texts(spark, tmp_path):
 
     g = sample_graph(spark, "/root/testdata/sf0.001")
     assert guard.query(spark, g, "select count(*) as created from method").first().created > 0
-    for sql in ("drop view method", "insert into method values (1)", "create table t as select 1", "set x=1"):
+    assert guard.query(spark, g, "with m as (select upper(name) as n from method) select n, (select count(*) from calls) as c from m where n in (select upper(name) from method)").count() > 0
+    for sql in (
+        "drop view method", "insert into method values (1)", "create table t as select 1", "set x=1", "select reflect('java.lang.System', 'getProperty', 'user.home')", "select * from parquet.`/etc/passwd`",
+        "select * from other", "select name, (select java_method('java.lang.System', 'nanoTime')) from method", "with x as (select * from json.`/a`) select * from x", "select unknown_function(1)",
+    ):
         with pytest.raises(guard.NotReadOnly):
             guard.query(spark, g, sql)
     assert [f["path"] for f in generate.scaffold(g, "order item")["files"]] == ["backend/order_item_api.py", "frontend/OrderItem.tsx"]
     fqn = g.method.where("name is not null").orderBy("fqn").first().fqn
     assert generate.test_suite(g, fqn)["content"] and "error" in generate.test_suite(g, "none")
     store, path = Snapshots(spark, str(tmp_path / "s")), tmp_path / "n.py"
-    assert not generate.safe_write(spark, store, str(path), "def (")["written"] and not path.exists()
-    assert generate.safe_write(spark, store, str(path), "def f(): pass\n")["written"] and names(store, "method", "name") == ["f"]
+    assert not generate.safe_write(spark, store, str(path), "def (")["success"] and not path.exists()
+    assert generate.safe_write(spark, store, str(path), "def f(): pass\n")["success"] and names(store, "method", "name") == ["f"]
+
+
+def test_java_annotations_belong_to_their_own_method():
+    java = """package com.x;
+@RestController
+@RequestMapping("/api/users")
+public class C {
+  @GetMapping("/{id}")
+  public User get(int id) { return svc.get(id); }
+  @PostMapping("/")
+  public User add(@RequestBody User u) { return svc.add(u); }
+  @RequestMapping(value = "/{id}", method = RequestMethod.PUT)
+  public User put(int id) { return null; }
+  public void plain() { }
+}
+"""
+    parsed = scan.parse("C.java", java, "java")
+    assert [(e["http_method"], e["path"], e["handler_fqn"], e["line"]) for e in routes.endpoints(java, "java", parsed)] == [("GET", "/api/users/{id}", "com.x.C.get", 5), ("POST", "/api/users", "com.x.C.add", 7), ("PUT", "/api/users/{id}", "com.x.C.put", 9)]
+    assert [m["signature"] for m in parsed["methods"]][1:] == ['@PostMapping("/") add(@RequestBody User u): User', '@RequestMapping(value = "/{id}", method = RequestMethod.PUT) put(int id): User', "plain(): void"]
+
+
+def test_arguments_are_read_whole_and_open_calls_end():
+    text = "fetch('/a,b', { x: [1, {y: ')'}], method: \"PUT\" }) + axios.get(`/t/${f('(', 1)}`); fetch('/open"
+    parsed = scan.parse("m.js", text, "javascript")
+    assert [(c["http_method"], c["path"], c["confidence"]) for c in routes.route_calls(text, "javascript", parsed)] == [("PUT", "/a,b", 1.0), ("GET", "/t/${f('(', 1)}", 0.5)]
+    for t in ("fetch(", "fetch('", "axios({", "axios.get(`", "app.get(", "@Get(", "@app.route('/x', methods=["):
+        for language in ("python", "java", "typescript"):
+            p = scan.parse("m", t, language)
+            routes.endpoints(t, language, p), routes.route_calls(t, language, p)
+
+
+def test_a_python_text_keeps_what_its_bad_lines_leave():
+    got = scan.parse("m.py", "import os\ndef a():\n    return 1\nx = = 2\nclass B:\n    def c(self):\n        d(\n", "python")
+    assert got["error"] and [m["name"] for m in got["methods"]] == ["a", "c"] and got["imports"] == ["import os"]
+
+
+def test_sync_tells_what_changed_and_leaves_no_edge_to_a_removed_name(spark, tmp_path):
+    from weft.plans.serve import answer, health
+
+    root, store = tmp_path / "repo", Snapshots(spark, str(tmp_path / "store"))
+    os.makedirs(root / "lib")
+    (root / "lib" / "a.py").write_text("def one():\n    two()\n\ndef two():\n    pass\n")
+    (root / "use.py").write_text("import numpy\nfrom lib.a import one\n\ndef go():\n    one()\n    two()\n")
+    from weft.operators.ingest import sync
+    from weft.sources.repo import source_files, source_paths
+
+    assert [os.path.relpath(r.path, root) for r in source_paths(spark, str(root)).collect()] == ["lib/a.py", "use.py"]
+    first = sync(store, source_files(spark, str(root)))
+    assert (first["nodes_added"], first["nodes_removed"], first["nodes_updated"]) == (3, 0, 0)
+    assert sorted((r.dst_label, os.path.basename(r.dst)) for r in store.read("imports").collect()) == [("File", "a.py"), ("Package", "numpy")]
+    assert {(r.src, r.dst) for r in store.read("calls").collect()} == {("lib.a.one", "lib.a.two"), ("use.go", "lib.a.one"), ("use.go", "lib.a.two")}
+    done = answer(store, "safe_write_file", {"file_path": str(root / "lib" / "a.py"), "content": "def one():\n    three()\n\ndef three():\n    pass\n"})["result"]
+    assert done["success"] and done["graph_updated"]
+    assert {(r.src, r.dst) for r in store.read("calls").collect()} == {("lib.a.one", "lib.a.three"), ("use.go", "lib.a.one")}
+    assert not answer(store, "safe_write_file", {"file_path": str(root / "lib" / "a.py"), "content": "def ("})["result"]["success"]
+    again = answer(store, "auto_sync_graph", {"file_path": str(root / "use.py")})["result"]
+    assert again["tables"] == [] and again["git_sha"]
+    assert answer(store, "find_by_fqn", {"fqn": "lib.a.one"})["result"]["callers"] == [{"fqn": "use.go", "name": "go", "file": str(root / "use.py"), "line": 4}]
+    assert answer(store, "get_file_context", {"file_path": "use.py"})["result"]["file"][0]["module_name"] == "use"
+    assert "error" in answer(store, "no_tool", {}) and "error" in answer(store, "find_by_fqn", {"name": 1}) and health(store)["status"] == "ok"
+
+
+def test_the_tool_server(spark, tmp_path):
+    import json
+    import threading
+    import urllib.request
+    from http.server import ThreadingHTTPServer
+
+    from weft.plans.serve import handler
+
+    with ThreadingHTTPServer(("127.0.0.1", 0), handler(Snapshots(spark, str(tmp_path / "none")))) as server:
+        threading.Thread(target=server.serve_forever, daemon=True).start()
+        at = f"http://127.0.0.1:{server.server_port}"
+        ask = urllib.request.build_opener(urllib.request.ProxyHandler({})).open
+        assert json.load(ask(f"{at}/health"))["status"] == "ok" and len(json.load(ask(f"{at}/tools"))["tools"]) == 24
+        assert json.load(ask(urllib.request.Request(f"{at}/tools/search_ontology", b'{"keyword": "x"}')))["result"] == []
+        server.shutdown()

@@ -32,9 +32,15 @@ def is_db_interaction(source: Column) -> Column:
     return out
 
 
+#: How frameworks and clients write a path parameter. Braces come first: they may hold any of the others.
+PARAM_STYLES = {"braces, with a dollar sign in templates": r"\$?\{[^}]+\}", "square brackets": r"\[[^\]]+\]", "a colon and a name": r":[A-Za-z_]\w*"}
+
+
 def normal_params(path: Column) -> Column:
-    """Every way to write a path parameter becomes {param}."""
-    return F.regexp_replace(path, r"\$\{[^}]*\}|\{[^}]*\}|:[A-Za-z_][A-Za-z0-9_]*|\[[^\]]*\]", "{param}")
+    """Every way to write a path parameter becomes {param}, one style after the other."""
+    for style in PARAM_STYLES.values():
+        path = F.regexp_replace(path, style, "{param}")
+    return path
 
 
 def route_path(path: Column) -> Column:
@@ -52,7 +58,8 @@ def effort(points: Column) -> Column:
 
 
 def mermaid_id(c: Column) -> Column:
-    out = F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), "^_+|_+$", "")
+    """Letters, digits and underscores; whatever else a name holds becomes one underscore a character, none at its ends."""
+    out = F.regexp_replace(F.regexp_replace(c, "[^A-Za-z0-9_]", "_"), "^_+|_+$", "")
     return F.when(out == "", F.lit("node")).otherwise(out)
 
 

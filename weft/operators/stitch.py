@@ -19,6 +19,18 @@ def stitch(route_calls: DataFrame, endpoints: DataFrame) -> DataFrame:
     return exact.unionByName(near).distinct()
 
 
+def tallies(route_calls: DataFrame, found: DataFrame, existing: DataFrame | None = None) -> DataFrame:
+    """One row: calls with exact and with parameterised matches, calls without any, and edges that are new."""
+    key = ["source_method_fqn", "rc_path", "http_method"]
+    calls = route_calls.select("source_method_fqn", F.col("path").alias("rc_path"), F.upper("http_method").alias("http_method")).distinct()
+    kinds = found.groupBy(*key).agg(F.max(F.col("match_type") == "exact").alias("exact"))
+    out = calls.join(kinds, key, "left").agg(
+        F.count_if(F.col("exact")).alias("exact_matches"), F.count_if(~F.col("exact")).alias("param_matches"), F.count_if(F.col("exact").isNull()).alias("unmatched_calls"),
+    )
+    fresh = new_edges(found, existing) if existing is not None else found
+    return out.crossJoin(fresh.agg(F.count("*").alias("total_edges_created")))
+
+
 def new_edges(found: DataFrame, existing: DataFrame) -> DataFrame:
     """Edges that a second run would not create again."""
     return found.join(existing, ["source_method_fqn", "rc_path", "http_method", "endpoint_path"], "left_anti")

@@ -72,7 +72,7 @@ RULES = {
     ),
     "php": Rules(
         mask=rf"\#(?!\[)[^\n]*|{_SLASHES}|{_STRINGS}", types=r"\b(?:class|interface)\s+(\w+)", methods=r"\bfunction\s+&?(\w+)\s*(?=\()",
-        imports=r"^[ \t]*(?:use|require_once|require|include_once|include)\b[^;]+;",
+        imports=r"^[ \t]*use\b[^;]+;|\b(?:require_once|require|include_once|include)\b[^;]+;",
     ),
     "swift": Rules(
         mask=f"{_SLASHES}|{_STRINGS}", types=r"\b(?:class|struct|protocol)\s+(?!func\b|var\b)(\w+)", methods=r"\bfunc\s+(\w+)|\b(?<!\.)(init)[?!]?\s*(?=\()", imports=r"^[ \t]*import\s+\S+",

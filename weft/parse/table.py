@@ -6,14 +6,15 @@ from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_schema
 from pyspark.sql.types import _parse_datatype_string
 
 from weft.parse import routes, scan
 
 PARTS = (
-    "path string, language string, repo_id string, checksum string, module_name string, error string, "
-    "classes array<struct<name:string,line:int,fqn:string,methods:array<string>>>, "
+    "path string, relative string, language string, repo_id string, checksum string, module_name string, error string, "
+    "classes array<struct<name:string,line:int,fqn:string,methods:array<string>,is_interface:boolean,is_abstract:boolean>>, "
     "methods array<struct<name:string,line:int,class_name:string,fqn:string,signature:string,source_code:string,calls:array<struct<callee_name:string,line:int>>>>, "
     "imports array<string>, endpoints array<struct<path:string,http_method:string,handler_fqn:string,line:int>>, "
     "route_calls array<struct<source_method_fqn:string,path:string,http_method:string,confidence:double,line:int>>"
@@ -21,10 +22,13 @@ PARTS = (
 
 
 def parse_files(files: DataFrame) -> DataFrame:
-    """files: path, language, repo_id, checksum, content (binary). Rows without a language or content have no parts.
+    """files: path, language, repo_id, checksum, content (binary), and relative, the path from the repository's root, which names
+    the module (the path itself where it is missing). Rows without a language or content have no parts.
 
     No shuffle; a task holds one Arrow batch of files. Bytes that aren't UTF-8 are replaced.
     """
+    if "relative" not in files.columns:
+        files = files.withColumn("relative", F.col("path"))
     schema = to_arrow_schema(_parse_datatype_string(PARTS))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -32,9 +36,9 @@ def parse_files(files: DataFrame) -> DataFrame:
             out = []
             for r in batch.to_pylist():
                 text, language = (r["content"] or b"").decode("utf-8", "replace").replace("\x00", " "), r["language"]
-                parts = scan.parse(r["path"] or "", text, language) if language else {"module_name": None, "classes": [], "methods": [], "imports": [], "error": None}
+                parts = scan.parse(r["relative"] or r["path"] or "", text, language) if language else {"module_name": None, "classes": [], "methods": [], "imports": [], "error": None}
                 found = {"endpoints": routes.endpoints(text, language, parts), "route_calls": routes.route_calls(text, language, parts)}
-                out.append({k: r[k] for k in ("path", "language", "repo_id", "checksum")} | parts | found)
+                out.append({k: r[k] for k in ("path", "relative", "language", "repo_id", "checksum")} | parts | found)
             yield from pa.Table.from_pylist(out, schema=schema).combine_chunks().to_batches()
 
-    return files.select("path", "language", "repo_id", "checksum", "content").mapInArrow(run, PARTS)
+    return files.select("path", "relative", "language", "repo_id", "checksum", "content").mapInArrow(run, PARTS)

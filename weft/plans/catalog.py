@@ -4,21 +4,21 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import DB_MARKS, ENTRY_POINTS
 from weft.operators import store
 from weft.operators.resolve import resolve_calls
-from weft.operators.stitch import stitch
-from weft.plans import source_queries
+from weft.operators.stitch import stitch, tallies
+from weft.plans import serve, source_queries
 from weft.plans import tools as t
 from weft.plans.sample_graph import sample_graph, with_views
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
-PKG, FILE_PART, SCOPE, KEY = "Brand#1", "Supplier#0000000", "", "user"
+PKG = "Brand#1"
 
 
 def _add(name: str, build, sql: str | None, recursive: bool = False) -> None:
@@ -172,7 +172,7 @@ _add("hotspots", lambda g: t.hotspots(g, "A"), "SELECT m.name AS method_name, m.
 _add("module_files", lambda g: t.module_files(g, "A"), "SELECT path, language FROM file WHERE contains(path, 'A') ORDER BY path LIMIT 20")
 _add("module_interface", lambda g: t.module_interface(g, "NATION_1"), "SELECT m.name, m.fqn, m.signature, count(*) AS external_callers FROM calls c JOIN method m ON m.fqn = c.dst JOIN method s ON s.fqn = c.src WHERE contains(m.file, 'NATION_1') AND NOT contains(s.file, 'NATION_1') GROUP BY ALL ORDER BY external_callers DESC, m.fqn LIMIT 10")
 _add("module_deps", lambda g: t.module_dependencies(g, "A"), "SELECT DISTINCT dst_label AS dep_type, dst AS dep_name FROM imports WHERE contains(src, 'A') ORDER BY 1, 2 LIMIT 20")
-_ID = "CASE WHEN trim(regexp_replace({0}, '[^A-Za-z0-9]+', '_', 'g'), '_') = '' THEN 'node' ELSE trim(regexp_replace({0}, '[^A-Za-z0-9]+', '_', 'g'), '_') END"
+_ID = "CASE WHEN trim(regexp_replace({0}, '[^A-Za-z0-9_]', '_', 'g'), '_') = '' THEN 'node' ELSE trim(regexp_replace({0}, '[^A-Za-z0-9_]', '_', 'g'), '_') END"
 _add("diagram_module_edges", lambda g: t.diagram_edges(g, "module"), f"SELECT {_ID.format('src')} AS source, {_ID.format('dst')} AS target FROM (SELECT DISTINCT src, dst FROM imports WHERE dst_label = 'File' ORDER BY src, dst LIMIT 30) x")
 _add(
     "diagram_class_edges",
@@ -225,13 +225,50 @@ ORACLE_SQL["html_titles"] = "SELECT page_id, trim(regexp_extract(html, '(?s)<tit
 
 
 def _nearest_handler(g):
-    """Each route call of a file to the method of that file whose line is nearest, the first one on ties."""
-    m = g.method.select("file", "fqn", F.col("line").alias("at"))
-    near = g.route_call.select(F.col("source_file").alias("file"), "path", "http_method", "line").distinct().join(m, "file")
-    return near.groupBy("file", "path", "http_method", "line").agg(F.min_by("fqn", F.struct(F.abs(F.col("at") - F.col("line")), "at", "fqn")).alias("handler_fqn"))
+    """Each route call of a file to the method of that file whose line is nearest, the first one on ties.
+
+    One ordered pass over a file's methods and calls finds the last method before and the first one after each call; no pairs are made.
+    """
+    none = F.lit(None).cast("string")
+    m = g.method.groupBy("file", "line").agg(F.min("fqn").alias("fqn")).select("file", "line", "fqn", none.alias("path"), none.alias("http_method"))
+    calls = g.route_call.select(F.col("source_file").alias("file"), "line", none.alias("fqn"), "path", "http_method").distinct()
+    here = F.when(F.col("fqn").isNotNull(), F.struct("line", "fqn"))
+    order = Window.partitionBy("file").orderBy("line")
+    before = F.last(here, ignorenulls=True).over(order.rangeBetween(Window.unboundedPreceding, Window.currentRow))
+    after = F.first(here, ignorenulls=True).over(order.rangeBetween(Window.currentRow, Window.unboundedFollowing))
+    both = m.unionByName(calls).select("*", before.alias("b"), after.alias("a")).where("fqn is null and (a is not null or b is not null)")
+    first = F.col("a").isNull() | (F.col("line") - F.col("b.line") <= F.col("a.line") - F.col("line"))
+    return both.select("file", "path", "http_method", "line", F.when(first, F.col("b.fqn")).otherwise(F.col("a.fqn")).alias("handler_fqn"))
 
 
 _add("nearest_handler", _nearest_handler, "SELECT r.source_file AS file, r.path, r.http_method, r.line, arg_min(m.fqn, (abs(m.line - r.line), m.line, m.fqn)) AS handler_fqn FROM (SELECT DISTINCT source_file, path, http_method, line FROM route_call) r JOIN method m ON m.file = r.source_file GROUP BY ALL")
 
+# What the tools say beside their main rows
+_add("file_metadata", lambda g: t.file_metadata(g, "A"), "SELECT path, language, module_name FROM file WHERE contains(path, 'A') ORDER BY path LIMIT 1")
+_add("migration_files", lambda g: t.migration_files(g, PKG), f"SELECT file, count(DISTINCT fqn) AS methods FROM method WHERE file IN {USERS} GROUP BY file ORDER BY file LIMIT 20")
+_add(
+    "diagram_module_counts",
+    lambda g: t.diagram_counts(g, "module"),
+    "e AS (SELECT DISTINCT src, dst FROM imports WHERE dst_label = 'File' ORDER BY src, dst LIMIT 30) SELECT (SELECT count(*) FROM (SELECT src FROM e UNION SELECT dst FROM e) x) AS node_count, (SELECT count(*) FROM e) AS edge_count",
+    recursive=True,
+)
+_add("diagram_class_counts", lambda g: t.diagram_counts(g, "class"), "SELECT count(*) AS node_count, CAST(sum(least(5, (SELECT count(*) FROM method m WHERE m.class_fqn = c.fqn))) AS BIGINT) AS edge_count FROM (SELECT fqn FROM class_ ORDER BY fqn LIMIT 20) c")
+_add("diagram_endpoint_counts", lambda g: t.diagram_counts(g, "endpoint"), f"SELECT 2 * count(*) AS node_count, count(*) AS edge_count FROM (SELECT e.path FROM {HANDLED} ORDER BY e.path, e.http_method, e.handler_fqn LIMIT 30) x")
+_add(
+    "stitch_tallies",
+    lambda g: tallies(g.route_call, stitch(g.route_call, g.endpoint)),
+    """k AS (SELECT source_method_fqn, rc_path, http_method, max(CASE WHEN match_type = 'exact' THEN 1 ELSE 0 END) AS ex FROM routes_to GROUP BY ALL)
+    SELECT count(*) FILTER (WHERE k.ex = 1) AS exact_matches, count(*) FILTER (WHERE k.ex = 0) AS param_matches, count(*) FILTER (WHERE k.ex IS NULL) AS unmatched_calls, (SELECT count(*) FROM (SELECT DISTINCT source_method_fqn, rc_path, http_method, endpoint_path FROM routes_to) x) AS total_edges_created
+    FROM route_call r LEFT JOIN k ON k.source_method_fqn = r.source_method_fqn AND k.rc_path = r.path AND k.http_method = r.http_method""",
+    recursive=True,
+)
+_add(
+    "context_tokens",
+    lambda g: serve.context_tokens(g),
+    """t AS (SELECT (SELECT CAST(sum(length(source_code) // 4) AS BIGINT) FROM method) AS n, (SELECT CAST(sum(length(concat_ws(' ', fqn, signature)) // 4) AS BIGINT) FROM method) + (SELECT CAST(coalesce(sum(length(concat_ws(' ', src, dst)) // 4), 0) AS BIGINT) FROM calls) AS g)
+    SELECT n AS naive_tokens, g AS graph_tokens, round(100 * (1 - g / n), 1) AS reduction_pct FROM t""",
+    recursive=True,
+)
+
 QUERIES |= source_queries.QUERIES
 ORACLE_SQL |= source_queries.ORACLE_SQL

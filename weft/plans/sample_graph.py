@@ -31,12 +31,13 @@ VIEWS: dict[str, str] = {
     "ev": """SELECT event_id AS id, event_type AS et, CASE event_id % 5 WHEN 0 THEN 'GET' WHEN 1 THEN 'POST' WHEN 2 THEN 'PUT' WHEN 3 THEN 'DELETE' ELSE 'PATCH' END AS verb,
         (SELECT min(p_partkey) FROM {part}) + event_id % (SELECT count(*) FROM {part}) AS pk FROM {events}""",
     "endpoint": """SELECT path, http_method, min(handler_fqn) AS handler_fqn FROM (
-        SELECT concat('/api/', et, CASE WHEN id % 2 = 0 THEN '/{{id}}' ELSE '' END) AS path, verb AS http_method, m.fqn AS handler_fqn FROM ev JOIN method m ON m.pk = ev.pk WHERE ev.id % 3 <> 0) x GROUP BY path, http_method""",
+        SELECT concat('/api/', et, CASE WHEN id % 2 = 0 THEN '/{{id}}' ELSE '' END) AS path, verb AS http_method, m.fqn AS handler_fqn FROM ev JOIN method m ON m.pk = ev.pk) x GROUP BY path, http_method""",
+    # Of four events one calls with a template, one with a colon, one without a parameter, and one a path that nobody serves.
     "route_call": """SELECT m.fqn AS source_method_fqn, path, http_method, min(m.file) AS source_file, min(m.line) AS line, CAST(min(conf) AS DOUBLE) AS confidence FROM (
-        SELECT pk, concat('/api/', et, CASE WHEN id % 2 = 0 THEN concat('/$', '{{userId}}') ELSE '' END) AS path, verb AS http_method, CASE WHEN id % 2 = 0 THEN 0.5 ELSE 1.0 END AS conf FROM ev WHERE id % 10 < 5) x
+        SELECT pk, concat('/api/', et, CASE id % 4 WHEN 0 THEN concat('/$', '{{userId}}') WHEN 1 THEN '' WHEN 2 THEN '/:userId' ELSE '/nowhere' END) AS path, verb AS http_method, CASE WHEN id % 4 = 0 THEN 0.5 ELSE 1.0 END AS conf FROM ev) x
         JOIN method m ON m.pk = x.pk GROUP BY m.fqn, path, http_method""",
-    "norm_call": "SELECT r.*, regexp_replace(regexp_replace(path, '[$][{{][^}}]*[}}]', '{{param}}'{g}), '[{{][^}}]*[}}]', '{{param}}'{g}) AS norm FROM route_call r",
-    "norm_end": "SELECT e.*, regexp_replace(path, '[{{][^}}]*[}}]', '{{param}}'{g}) AS norm FROM endpoint e",
+    "norm_call": "SELECT r.*, regexp_replace(regexp_replace(path, '[$]?[{{][^}}]+[}}]', '{{param}}'{g}), ':[A-Za-z_][A-Za-z0-9_]*', '{{param}}'{g}) AS norm FROM route_call r",
+    "norm_end": "SELECT e.*, regexp_replace(path, '[{{][^}}]+[}}]', '{{param}}'{g}) AS norm FROM endpoint e",
     "routes_to": """SELECT c.source_method_fqn, c.path AS rc_path, c.http_method, e.path AS endpoint_path, 'exact' AS match_type, CAST(1.0 AS DOUBLE) AS confidence FROM norm_call c JOIN norm_end e ON e.path = c.path AND e.http_method = c.http_method
         UNION ALL SELECT c.source_method_fqn, c.path, c.http_method, e.path, 'parameterized', CAST(0.7 AS DOUBLE) FROM norm_call c JOIN norm_end e ON e.norm = c.norm AND e.http_method = c.http_method
         WHERE NOT EXISTS (SELECT 1 FROM endpoint x WHERE x.path = c.path AND x.http_method = c.http_method)""",
@@ -75,10 +76,22 @@ COLUMNS = {
 }
 
 
+def _state(spark: SparkSession, sf_dir: str) -> str:
+    """Names, sizes and times of the files that the graph is derived from."""
+    found = []
+    for t in TABLES:
+        p = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/{t}.parquet")
+        fs = p.getFileSystem(spark._jsc.hadoopConfiguration())
+        found += [(t, s.getPath().getName(), s.getLen(), s.getModificationTime()) for s in (fs.listStatus(p) if fs.getFileStatus(p).isDirectory() else [fs.getFileStatus(p)])]
+    return repr(sorted(found))
+
+
 def sample_graph(spark: SparkSession, sf_dir: str) -> Graph:
-    """The graph derived from the test tables. As a graph is stored before it is asked, a session derives it once a folder, into
-    the shared folder; queries then scan those tables with pruned columns and pushed filters instead of deriving again in every branch."""
-    root = f"{shared_root(spark)}/weft-graph-{spark.sparkContext.applicationId}-{hashlib.sha256(sf_dir.encode()).hexdigest()[:16]}"
+    """The graph derived from the test tables. As a graph is stored before it is asked, a session derives it once a state of the
+    folder's files, into the shared folder; queries then scan those tables with pruned columns and pushed filters instead of
+    deriving again in every branch."""
+    key = hashlib.sha256(f"{sf_dir} {_state(spark, sf_dir)} {VIEWS}".encode()).hexdigest()[:16]
+    root = f"{shared_root(spark)}/weft-graph-{spark.sparkContext.applicationId}-{key}"
     at = spark._jvm.org.apache.hadoop.fs.Path(root)
     fs = at.getFileSystem(spark._jsc.hadoopConfiguration())
     if not fs.exists(spark._jvm.org.apache.hadoop.fs.Path(f"{root}/{[*COLUMNS][-1]}/_SUCCESS")):

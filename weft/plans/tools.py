@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+import zlib
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from weft.functions.text import ENTRY_POINTS, LIVE_PREFIXES, contains, effort, is_db_interaction, mermaid_id, optional_prefix
 from weft.operators.graph import Graph
-from weft.operators.paths import on_cycle, reachable, safe_depth, trails
+from weft.operators.paths import leading_back, safe_depth, shallowest, trails
+from weft.session import Scratch
+from weft.sources.git import history
 
 _last = lambda c: F.asc_nulls_last(c)
 # Fixed rules: (name, files whose path contains this, must not import files whose path contains that).
@@ -60,6 +64,11 @@ def search(g: Graph, keyword: str) -> DataFrame:
     return top(nodes.where(hit if k else F.lit(False)), 50, "node_type", "identifier", _last("file"), _last("line"))
 
 
+def file_metadata(g: Graph, path: str) -> DataFrame:
+    """The first file whose path contains the text."""
+    return top(g.file.where(contains("path", path)).select("path", "language", "module_name"), 1, "path")
+
+
 def file_classes(g: Graph, path: str) -> DataFrame:
     return top(g.class_.where(contains("file", path)).select("fqn", "name", "line"), None, _last("line"), "fqn")
 
@@ -85,9 +94,9 @@ def endpoints(g: Graph, keyword: str = "") -> DataFrame:
 
 def execution_flow(g: Graph, fqn: str, max_depth: int = 5, min_confidence: float = 0.4) -> DataFrame:
     """Trails downstream, edges below the confidence left out before they are walked."""
-    t = trails(g.calls.where(F.col("confidence") >= min_confidence), F.col("from_") == fqn, safe_depth(max_depth, 5))
     m = g.method.select(F.col("fqn").alias("node"), "name", "file", "line")
-    out = t.join(m, "node").select(F.col("node").alias("fqn"), "name", "file", "line", "depth", F.round("conf", 3).alias("path_confidence"), F.array_join("trail", ">").alias("trail_"), F.col("conf").alias("c_"))
+    t = shallowest(Scratch(m.sparkSession, "flow"), g.calls.where(F.col("confidence") >= min_confidence), m, F.col("from_") == fqn, safe_depth(max_depth, 5), 100)
+    out = t.select(F.col("node").alias("fqn"), "name", "file", "line", "depth", F.round("conf", 3).alias("path_confidence"), F.array_join("trail", ">").alias("trail_"), F.col("conf").alias("c_"))
     return top(out, 100, "depth", F.desc("c_"), "fqn", "trail_").drop("trail_", "c_")
 
 
@@ -140,9 +149,9 @@ def trails_from(calls: DataFrame, seeds: DataFrame, depth: int) -> DataFrame:
 
 
 def data_lineage(g: Graph, fqn: str, max_depth: int = 6) -> DataFrame:
-    t = trails(g.calls, F.col("from_") == fqn, safe_depth(max_depth, 6))
     m = g.method.select(F.col("fqn").alias("node"), "name", "file", "language", "source_code")
-    out = t.join(m, "node").select(
+    t = shallowest(Scratch(m.sparkSession, "lineage"), g.calls, m, F.col("from_") == fqn, safe_depth(max_depth, 6), 50)
+    out = t.select(
         F.col("node").alias("fqn"), "name", "file", "language", "depth", F.round("conf", 3).alias("path_confidence"), is_db_interaction(F.col("source_code")).alias("is_db_interaction"),
         F.array_join("trail", ">").alias("trail_"), F.col("conf").alias("c_"),
     )
@@ -153,11 +162,15 @@ def data_lineage(g: Graph, fqn: str, max_depth: int = 6) -> DataFrame:
 
 
 def import_cycles(g: Graph, scope: str = "") -> DataFrame:
-    """Imports between files on cycles: a on a closed trail of 2..6 imports, b leads back to a in 1..5."""
+    """Imports between files on cycles: a on a closed trail of 2..6 imports, b leads back to a in 1..5.
+
+    An import of another file whose way back has at most five edges closes such a trail by itself; a file's import of itself counts
+    where the file is on one, or imports itself more than once.
+    """
     e = g.imports.where("dst_label = 'File'").select("src", "dst")
-    starts = optional_prefix(on_cycle(e, 6), "node", scope)
-    back = reachable(e, 5).select(F.col("root").alias("dst"), F.col("node").alias("src"))
-    pairs = e.join(starts.select(F.col("node").alias("src")), "src", "left_semi").join(back, ["src", "dst"], "left_semi")
+    pairs = leading_back(e, 5, Scratch(e.sparkSession, "cycles"))
+    loops = e.where("src = dst").groupBy("src", "dst").agg(F.count("*").alias("n")).join(pairs.select("src", F.lit(True).alias("on")).distinct(), "src", "left")
+    pairs = optional_prefix(e.join(pairs.unionByName(loops.where("n > 1 or on").select("src", "dst")), ["src", "dst"], "left_semi"), "src", scope)
     return top(pairs.select(F.col("src").alias("file_a"), F.col("dst").alias("file_b")), 50, "file_a", "file_b")
 
 
@@ -222,11 +235,25 @@ def migration_cost(g: Graph, package: str) -> DataFrame:
     return out.withColumn("total_touch_points", points).withColumn("effort_estimate", effort(F.col("total_touch_points")))
 
 
+def migration_files(g: Graph, package: str, most: int = 20) -> DataFrame:
+    """The first files that use the package and have methods, with how many."""
+    m = g.method.join(package_users(g, package).select("file").distinct(), "file", "left_semi")
+    return top(m.groupBy("file").agg(F.countDistinct("fqn").alias("methods")), most, "file")
+
+
+def migration(g: Graph, from_package: str, to_package: str = "") -> dict:
+    """The whole answer: the totals, the packages' names and sample files."""
+    return {"from_package": from_package, "to_package": to_package, "migration_cost": migration_cost(g, from_package).first().asDict(), "sample_files": [r.file for r in migration_files(g, from_package).collect()]}
+
+
 # Change and summary
 
 
 def test_dependencies(g: Graph, fqn: str) -> DataFrame:
-    return neighbours(g, fqn, callers=False).select("fqn", "name")
+    """Callees to mock: those marked as resolved or not marked at all."""
+    known = g.method.withColumn("resolved", F.col("resolved") if "resolved" in g.method.columns else F.lit(None).cast("boolean")).where("resolved or resolved is null")
+    hit = g.calls.where(F.col("src") == fqn).select(F.col("dst").alias("fqn"))
+    return top(hit.join(known, "fqn").select("fqn", "name"), 20, "fqn")
 
 
 def change_complexity(g: Graph, path: str) -> DataFrame:
@@ -240,6 +267,15 @@ def hotspots(g: Graph, path: str) -> DataFrame:
     return top(g.calls.join(m, g.calls.dst == m.fqn).groupBy("method_name", "fqn").agg(F.count("src").alias("call_count")), 5, F.desc("call_count"), "fqn")
 
 
+def change_history(spark: SparkSession, g: Graph, path: str) -> dict:
+    """The last commits of a file, how complex it is, and its most called methods."""
+    commits = [r.asDict() for r in history(spark, path).orderBy("nth").collect()]
+    return {
+        "file_path": path, "git_history": {"recent_commits": [f"{c['commit']} {c['message']}" for c in commits], "commit_count": len(commits)},
+        "complexity_metrics": change_complexity(g, path).first().asDict(), "hotspot_methods": [r.asDict() for r in hotspots(g, path).collect()],
+    }
+
+
 def module_files(g: Graph, path: str) -> DataFrame:
     return top(g.file.where(contains("path", path)).select("path", "language"), 20, "path")
 
@@ -269,12 +305,25 @@ def diagram_edges(g: Graph, kind: str, scope: str = "") -> DataFrame:
     raise ValueError(f"unknown diagram type {kind!r}: module, class or endpoint")
 
 
+def diagram_counts(g: Graph, kind: str, scope: str = "") -> DataFrame:
+    """node_count and edge_count of a diagram: distinct ends of module edges; classes and the methods they show; two nodes an endpoint."""
+    if kind == "module":
+        e = top(optional_prefix(g.imports.where("dst_label = 'File'"), "src", scope).select("src", "dst").distinct(), 30, "src", "dst")
+        ends = e.select(F.explode(F.array("src", "dst")).alias("node")).distinct().agg(F.count("*").alias("node_count"))
+        return ends.crossJoin(e.agg(F.count("*").alias("edge_count")))
+    rows = diagram_edges(g, kind, scope)
+    if kind == "class":
+        shown = F.when(F.col("target") == "", 0).otherwise(F.size(F.split("target", ",")))
+        return rows.agg(F.count("*").alias("node_count"), F.coalesce(F.sum(shown), F.lit(0)).cast("long").alias("edge_count"))
+    return rows.agg((2 * F.count("*")).alias("node_count"), F.count("*").alias("edge_count"))
+
+
 def diagram(g: Graph, kind: str = "module", scope: str = "") -> str:
     """Mermaid text of at most 30 edges."""
     rows = diagram_edges(g, kind, scope).collect()
     if kind == "class":
         return "\n".join(["classDiagram", *(f"    class {r.source} {{\n" + "".join(f"        +{m}()\n" for m in r.target.split(",") if m) + "    }" for r in rows)])
-    arrow = (lambda r: f"    {r.source} --> {r.target}") if kind == "module" else (lambda r: f'    {r.source}["{r.source}"] --> E{abs(hash(r.target)) % 10**8}["{r.target}"]')
+    arrow = (lambda r: f"    {r.source} --> {r.target}") if kind == "module" else (lambda r: f'    {r.source}["{r.source}"] --> E{zlib.crc32(r.target.encode())}["{r.target}"]')
     return "\n".join(["graph TD" if kind == "module" else "graph LR", *map(arrow, rows)])
 
 

@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import os
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | None = None, name: str = "weft", shuffle: int | None = None) -> SparkSession:
@@ -24,6 +25,19 @@ def local_session(cpus: int | None = None, name: str = "weft", shuffle: int | No
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session does without it, in a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (root or "file:///tmp/checkpoints").rstrip("/")
+
+
+class Scratch:
+    """A folder of intermediate tables under the shared root. Tables there survive lost executors and cut lineage."""
+
+    def __init__(self, spark: SparkSession, what: str):
+        self.spark, self.root = spark, f"{shared_root(spark)}/weft-{what}-{uuid.uuid4().hex}"
+
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        df.write.mode("overwrite").parquet(f"{self.root}/{name}")
+        return self.spark.read.schema(df.schema).parquet(f"{self.root}/{name}")

@@ -39,7 +39,7 @@ def ignored(relative: Column, patterns: list[str]) -> Column:
 
 
 def source_files(spark: SparkSession, root: str, repo_id: str = "default", skipped: tuple[str, ...] = SKIPPED) -> DataFrame:
-    """path, language, repo_id, checksum, content of every source file below root that is neither skipped nor ignored.
+    """path, relative, language, repo_id, checksum, content of every source file below root that is neither skipped nor ignored.
 
     Names are filtered before contents are hashed. The root's ignore file alone is read, on the driver: it is one small text.
     """
@@ -48,6 +48,11 @@ def source_files(spark: SparkSession, root: str, repo_id: str = "default", skipp
     return select_sources(files, _base(spark, root), _patterns(spark, root), repo_id, skipped)
 
 
+def source_paths(spark: SparkSession, root: str) -> DataFrame:
+    """The sorted paths that an ingestion of root would take."""
+    return source_files(spark, root).select("path").orderBy("path")
+
+
 def _base(spark: SparkSession, root: str) -> str:
     p = spark._jvm.org.apache.hadoop.fs.Path(root)
     return p.getFileSystem(spark._jsc.hadoopConfiguration()).makeQualified(p).toString()
@@ -72,7 +77,7 @@ def select_sources(files: DataFrame, base: str, patterns: list[str], repo_id: st
     relative = F.substring(local, len(re.sub("^file:/*", "/", base)) + 2, 1 << 20)
     folders = F.slice(F.split(relative, "/"), F.lit(1), F.size(F.split(relative, "/")) - 1)
     kept = files.withColumn("language", language(F.col("path"))).where(F.col("language").isNotNull() & ~F.arrays_overlap(folders, F.array(*map(F.lit, skipped))) & ~ignored(relative, patterns))
-    return kept.select(local.alias("path"), "language", F.lit(repo_id).alias("repo_id"), F.sha2("content", 256).alias("checksum"), "content")
+    return kept.select(local.alias("path"), relative.alias("relative"), "language", F.lit(repo_id).alias("repo_id"), F.sha2("content", 256).alias("checksum"), "content")
 
 
 def changed_files(files: DataFrame, stored: DataFrame | None) -> DataFrame:
