@@ -6,15 +6,22 @@ arc u, leading to what is then the state after v. Every token thus owns one stat
 of another token's state. The tables keep, for every token, the step at which its state was made (``born``), whose
 state it copied (``copy_of``), beside whose arcs its own arcs run (``beside``), and for every pair the step at which the
 arc was cut (``cut``). An arc from the state after p with label x exists iff unwinding the gadgets in reverse order meets
-no cut; the answers are kept in a transition table as they are found.
+no cut.
 
-Encoding. The accepted token paths are exactly the correct tokenizations, a prefix of a correct path is correct, and each
-prefix has one path. So a word is read left to right; at each byte the tokens that end there come from a trie of reversed
-labels, and the one that the state at its start lets pass is the state's label there. Time is linear in a word's bytes.
-Decoding emits the arcs' labels.
+Compilation. The accepted token paths are exactly the correct tokenizations, a prefix of a correct path is correct, and each
+prefix has one path. A state of the byte automaton is what a prefix leaves for later: for every place where a token may have begun, the
+token state there and the place in a trie of labels that the bytes since have reached. One byte leads from a state to the next; the
+token that ends there, the one whose arc its state has, is the next state's label. This is the subset construction over the token
+automaton, run as states are met, as regular expression engines do it: all states of a vocabulary of this size would not fit a worker. The
+table is emptied when it holds STATES states, which changes times, not results.
+
+Encoding. A word is read byte by byte through the table, one look-up a byte; the labels of its states, followed from the end, are its
+tokens. Decoding emits the arcs' labels.
 
 Defined results: a null or empty text has no tokens and decodes to the empty text. Special tokens in a text are taken as
-such, like the library does by default. Everything is per row.
+such, like the library does by default. Everything is per row, so repeated rows have equal results and ties don't arise; a null id stays
+null; an empty table gives no rows; a very long text is one value of one batch, a very long word one run through the table; other columns are
+not read.
 """
 
 from __future__ import annotations
@@ -36,8 +43,9 @@ _WS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
 #: Where a text can't be cut at every single space.
 _ODD = re.compile(rf" [{_WS}]|[{_WS}] |^ | $")
-#: Entries of a worker's word cache before the older half goes; entries of the transition table before it is emptied.
-WORDS, ARCS = 200_000, 500_000
+#: Entries of a worker's word cache before the older half goes; arcs that are remembered, and states of the compiled automaton, before
+#: they are emptied.
+WORDS, ARCS, STATES = 200_000, 300_000, 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
@@ -64,12 +72,19 @@ class Automaton:
         for step, merge in enumerate(spec["model"]["merges"], 1):
             a, b = merge if isinstance(merge, list) else merge.split(" ")
             self._gadget(step, vocab[a], vocab[b], vocab[a + b])
-        self.trie: dict = {}
+        # The trie of labels: children by place and byte, and the token that ends at a place.
+        self.child: dict[int, int] = {}
+        self.ends: list[int] = [-1]
         for name, i in vocab.items():
-            node = self.trie
-            for byte in reversed(label[name]):
-                node = node.setdefault(byte, {})
-            node[-1] = i
+            at = 0
+            for byte in label[name]:
+                nxt = self.child.get(at << 8 | byte)
+                if nxt is None:
+                    nxt = self.child[at << 8 | byte] = len(self.ends)
+                    self.ends.append(-1)
+                at = nxt
+            self.ends[at] = i
+        self._forget()
         self.arcs: dict[int, bool] = {}
         self.special_pattern = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
         self.decimal = {str(i): b for i, b in enumerate(self.labels)}
@@ -104,29 +119,50 @@ class Automaton:
         self.arcs[key] = answer
         return answer
 
+    def _forget(self) -> None:
+        """Empties the compiled automaton but for its start, state 0."""
+        # A state: pairs (token state where a token may have begun, place in the trie), then its label; -1 is the state at a word's start.
+        self.kept: list[tuple[int, ...]] = [(-1, 0, -1)]
+        self.numbers: dict[tuple[int, ...], int] = {(-1, 0, -1): 0}
+        self.label: list[int] = [-1]
+        #: The transition table: from a state and a byte, as one number, to a state.
+        self.table: dict[int, int] = {}
+
+    def _compile(self, state: int, byte: int) -> int:
+        """The state that a byte leads to, made if it is not there yet."""
+        child, ends, pairs, label, kept = self.child.get, self.ends, iter(self.kept[state]), -1, []
+        for before, place in zip(pairs, pairs):
+            at = child(place << 8 | byte)
+            if at is None:
+                continue
+            kept += (before, at)
+            token = ends[at]
+            # Of the tokens that end here one has an arc from the state where it begins; a whole word's token always has.
+            if label < 0 <= token and (before < 0 or self.passes(before, token)):
+                label = token
+        key = (*kept, label, 0, label)
+        number = self.numbers.get(key)
+        if number is None:
+            number = self.numbers[key] = len(self.kept)
+            self.kept.append(key)
+            self.label.append(label)
+        self.table[state << 8 | byte] = number
+        return number
+
     def word(self, data: bytes) -> list[int]:
         """The token path of one pre-split word."""
-        trie, arcs, passes = self.trie, self.arcs, self.passes
-        last = [-1] * (len(data) + 1)
-        for end in range(1, len(data) + 1):
-            node, at = trie, end
-            while at and (node := node.get(data[at - 1])) is not None:
-                at -= 1
-                token = node.get(-1)
-                if token is None:
-                    continue
-                before = last[at]
-                if not at:
-                    last[end] = token
-                    break
-                ok = arcs.get(before << 20 | token)
-                if ok or ok is None and passes(before, token):
-                    last[end] = token
-                    break
-        out, at = [], len(data)
+        if len(self.kept) > STATES:
+            self._forget()
+        follow, state, passed = self.table.get, 0, []
+        for byte in data:
+            nxt = follow(state << 8 | byte)
+            state = self._compile(state, byte) if nxt is None else nxt
+            passed.append(state)
+        out, at, label, labels = [], len(data), self.label, self.labels
         while at:
-            out.append(last[at])
-            at -= len(self.labels[last[at]])
+            token = label[passed[at - 1]]
+            out.append(token)
+            at -= len(labels[token])
         return out[::-1]
 
     def plain(self, text: str) -> list[int]:
@@ -168,7 +204,8 @@ class Generations(dict):
 def automaton(path: str) -> tuple[Automaton, Generations, Generations]:
     """One automaton a worker; with the decimal ids of single words, alone and after a space."""
     a = Automaton(path)
-    words = Generations(lambda w: ",".join(map(str, a.word(w.encode()))), WORDS)
+    name = [str(i) for i in range(len(a.labels))].__getitem__
+    words = Generations(lambda w: ",".join(map(name, a.word(w.encode()))), WORDS)
     spaced = Generations(lambda c: ",".join(words[w] for w in SPLIT.findall(" " + c)), WORDS)
     return a, words, spaced
 

@@ -64,17 +64,29 @@ def own_worker(owner: str) -> None:
 
 
 def shared_root(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where it is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Only a local session does without it, in a local folder."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not root and not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     return (root or "file:///tmp/checkpoints").rstrip("/")
 
 
 class Scratch:
-    """A folder of intermediate tables under the shared root. Tables there survive lost executors and cut lineage."""
+    """A folder of intermediate tables under the shared root. Tables there survive lost executors and cut lineage.
+
+    Results are lazy and may read from it, so the folder goes when the application ends; what nobody reads again goes by drop().
+    """
 
     def __init__(self, spark: SparkSession, what: str):
         self.spark = spark
         self.root = f"{shared_root(spark)}/weft-{what}-{uuid.uuid4().hex}"
+        fs, at = self._at("")
+        fs.mkdirs(at)
+        fs.deleteOnExit(at)
+
+    def _at(self, name: str):
+        p = self.spark._jvm.org.apache.hadoop.fs.Path(self.path(name) if name else self.root)
+        return p.getFileSystem(self.spark._jsc.hadoopConfiguration()), p
 
     def path(self, name: str) -> str:
         return f"{self.root}/{name}"
@@ -89,17 +101,17 @@ class Scratch:
         return reader.parquet(self.path(name))
 
     def drop(self, *names: str) -> None:
-        jvm, conf = self.spark._jvm, self.spark._jsc.hadoopConfiguration()
         for name in names:
-            p = jvm.org.apache.hadoop.fs.Path(self.path(name))
-            p.getFileSystem(conf).delete(p, True)
+            fs, at = self._at(name)
+            fs.delete(at, True)
+
+
+def free_shuffles(spark: SparkSession) -> None:
+    """Lets Spark's cleaner drop the shuffle files of plans that nobody holds any more, so that a long job's disk does not add up."""
+    gc.collect()
+    spark._jvm.System.gc()
 
 
 def checked_broadcast(small: DataFrame, rows: int, most: int) -> DataFrame:
     """Hints a broadcast only where the counted rows stay below the bound; beyond it Spark shuffles."""
     return F.broadcast(small) if rows <= most else small
-
-
-def scan_slices(spark: SparkSession, df: DataFrame) -> int:
-    """Number of partitions of df's scan: a measure of the input that grows with it."""
-    return max(1, df.rdd.getNumPartitions())

@@ -7,11 +7,13 @@ several rows the canonical bytes themselves are compared (a grouping by hash and
 bucket's first one gets an ordinal, so equal fingerprints of documents mean equal canonical bytes. Likeness is exact: 1.0 where
 hashes and canonical bytes agree, else 0.0.
 
-Only hashes are shuffled for grouping; texts move once, to bring each document next to its successor, and the texts of
-buckets with several rows once more. A hot bucket is collapsed before the shuffle by the partial aggregation.
+The next document. Rows with equal id and text (by a wide hash of it) are one key with a count. Keys are put in descending order by a range
+partitioning on id and hash, so neither sparse ids nor one id for many texts fill a task; a key's successor is the next one of its part,
+or the first key of the next part. Texts are grouped by key once; a row's next text travels as the prefix that its edit needs.
 
-Defined results: null and empty texts are the empty text, all alike; ties and repeated rows have equal fingerprints (the
-order among repeated ids goes by text); a single document is its own successor; an empty table gives no rows.
+Defined results: null and empty texts are the empty text, all alike; rows with one id follow each other in the order of their texts' hashes,
+equal rows among them are each other's next, but for the last one; rows without an id come after all others; a single document is its own
+next; a very long text is one value in one task; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -21,10 +23,10 @@ from pyspark.sql import functions as F
 
 from weft.llm.common import Scratch, checked_broadcast
 
-#: Documents of one block of neighbouring ids, blocks of one block of blocks.
-BLOCK, BLOCKS = 256, 1024
 #: Rows up to which bucket keys (16 bytes and a count each) are broadcast.
 MOST_KEYS = 200_000
+#: What tells texts of one id apart, and the columns of a key.
+KEY = ["doc_id", "h1", "h2"]
 
 
 def canonical(text: Column) -> Column:
@@ -44,26 +46,27 @@ def wide_hash(canon: Column) -> Column:
     return F.concat(_half(canon, "first half"), _half(canon, "second half"))
 
 
-def with_next(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """doc_id, text, and the text of the next document by descending id; after the last one comes the first.
+def keyed(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    """doc_id, h1, h2, text: texts without nulls, with the hashes that tell them apart."""
+    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
+    return d.withColumns({"h1": F.xxhash64(F.lit("first half"), "text"), "h2": F.xxhash64(F.lit("second half"), "text")})
+
 
-    Windows run over blocks of neighbouring ids, over blocks of such blocks, and over those: no task sees more than a
-    block's documents, and only one text a block is moved apart from its block.
+def successors(scratch: Scratch, keys: DataFrame) -> DataFrame:
+    """keys with n_id, n_h1, n_h2, n_print: the key that follows by descending id, hash and hash; after the last one comes the first.
+
+    Only keys are moved, none of their texts; one row a part is looked at together.
     """
-    d = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col), F.lit("")).alias("text"))
-    d = d.withColumn("block", F.floor(F.col("doc_id") / BLOCK).cast("long"))
-    down = Window.partitionBy("block").orderBy(F.desc("doc_id"), F.desc("text"))
-    inner = d.withColumn("nth", F.row_number().over(down)).withColumn("next", F.lead("text").over(down))
-    # The next block that has documents, for each block; the last one is followed by the first.
-    blocks = docs.select(F.floor(F.col(id_col) / BLOCK).cast("long").alias("block")).distinct().withColumn("upper", F.floor(F.col("block") / BLOCKS))
-    uppers = blocks.groupBy("upper").agg(F.max("block").alias("top"))
-    every = Window.partitionBy(F.lit(0)).orderBy(F.desc("upper"))
-    uppers = uppers.withColumn("after", F.coalesce(F.lead("top").over(every), F.first("top").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))))
-    within = Window.partitionBy("upper").orderBy(F.desc("block"))
-    follow = blocks.withColumn("lower", F.lead("block").over(within)).join(uppers, "upper").select("block", F.coalesce("lower", "after").alias("follow"))
-    firsts = inner.where("nth = 1").select(F.col("block").alias("follow"), F.col("text").alias("first_text"))
-    ends = inner.where(F.col("next").isNull()).join(follow, "block").join(firsts, "follow").select("doc_id", "text", F.col("first_text").alias("next"))
-    return inner.where(F.col("next").isNotNull()).select("doc_id", "text", "next").unionByName(ends)
+    down = [F.desc_nulls_last("doc_id"), F.desc("h1"), F.desc("h2")]
+    parts = scratch.keep(keys.repartitionByRange(*down).withColumn("part", F.spark_partition_id()), "ordered")
+    me = F.struct(*KEY, "fingerprint")
+    inside = parts.withColumn("next", F.lead(me).over(Window.partitionBy("part").orderBy(*down)))
+    tops = parts.groupBy("part").agg(F.max_by(me, F.struct(F.col("doc_id").isNotNull(), *KEY)).alias("top"))
+    # As many rows as there are parts.
+    every = Window.partitionBy(F.lit(0)).orderBy("part")
+    tops = tops.select("part", F.coalesce(F.lead("top").over(every), F.first("top").over(every.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))).alias("after"))
+    n = F.coalesce("next", "after")
+    return inside.join(F.broadcast(tops), "part").select(*keys.columns, n["doc_id"].alias("n_id"), n["h1"].alias("n_h1"), n["h2"].alias("n_h2"), n["fingerprint"].alias("n_print"))
 
 
 def likeness(hash_a: Column, hash_b: Column, canon_a: Column, canon_b: Column) -> Column:
@@ -71,40 +74,53 @@ def likeness(hash_a: Column, hash_b: Column, canon_a: Column, canon_b: Column) -
     return F.when((hash_a == hash_b) & (canon_a == canon_b), F.lit(1.0)).otherwise(F.lit(0.0))
 
 
-def colliding_texts(spark: SparkSession, docs: DataFrame, hashes: DataFrame, id_col: str, text_col: str) -> DataFrame | None:
-    """(fingerprint, canonical text, ordinal >= 1) of the texts that share a fingerprint with a different text; None if there are none."""
-    shared = hashes.groupBy("fingerprint").agg(F.count("*").alias("rows")).where("rows > 1").select("fingerprint")
+def colliding_texts(keys: DataFrame, texts: DataFrame) -> DataFrame | None:
+    """(fingerprint, h1, h2, ordinal >= 1) of the texts whose fingerprint another canonical text has; None if there are none.
+
+    keys: fingerprint, h1, h2, rows; texts: h1, h2, text. Texts are moved only for fingerprints of several different texts.
+    """
+    shared = keys.select("fingerprint", "h1", "h2").distinct().groupBy("fingerprint").agg(F.count("*").alias("texts")).where("texts > 1").select("fingerprint")
     n = shared.count()
     if not n:
         return None
-    canon = docs.select(canonical(F.coalesce(F.col(text_col), F.lit(""))).alias("canon"))
-    canon = canon.withColumn("fingerprint", wide_hash(F.col("canon")))
-    members = canon.join(checked_broadcast(shared, n, MOST_KEYS), "fingerprint", "left_semi")
-    texts = members.groupBy("fingerprint", "canon").agg(F.lit(1).alias("one"))
-    several = texts.groupBy("fingerprint").agg(F.count("*").alias("texts")).where("texts > 1")
+    wanted = keys.join(checked_broadcast(shared, n, MOST_KEYS), "fingerprint", "left_semi").select("fingerprint", "h1", "h2").distinct()
+    canon = texts.join(checked_broadcast(wanted, wanted.count(), MOST_KEYS), ["h1", "h2"]).select("fingerprint", "h1", "h2", canonical(F.col("text")).alias("canon"))
+    # A group holds one row a canonical text, so it has more than one only where hashes collide.
+    forms = canon.groupBy("fingerprint", "canon").agg(F.lit(1).alias("one"))
+    several = forms.groupBy("fingerprint").agg(F.count("*").alias("forms")).where("forms > 1")
     if several.isEmpty():
         return None
-    texts = texts.join(several, "fingerprint", "left_semi")
     nth = F.row_number().over(Window.partitionBy("fingerprint").orderBy("canon")) - 1
-    return texts.select("fingerprint", "canon", nth.alias("ordinal")).where("ordinal > 0")
+    forms = forms.join(several, "fingerprint", "left_semi").select("fingerprint", "canon", nth.alias("ordinal")).where("ordinal > 0")
+    return canon.join(forms, ["fingerprint", "canon"]).select("fingerprint", "h1", "h2", "ordinal").distinct()
 
 
 def fingerprints(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Fingerprints of every whole text, of its edited text, and the likeness to the edited and to the next text."""
-    chars = F.char_length("text")
-    half = F.floor(chars / 2)
-    d = with_next(docs, id_col, text_col)
-    d = d.withColumn("edited", F.concat(F.left(F.col("text"), (chars - half).cast("int")), F.left(F.col("next"), half.cast("int"))))
-    d = d.select("doc_id", chars.cast("long").alias("n_chars"), F.sha2(F.col("edited"), 256).alias("edited_sha256"), *(canonical(F.col(c)).alias(f"c_{c}") for c in ("text", "edited", "next")))
-    d = d.select("*", *(wide_hash(F.col(f"c_{c}")).alias(f"h_{c}") for c in ("text", "edited", "next")))
-    d = d.select(
-        "doc_id", "n_chars", "edited_sha256", F.col("h_text").alias("fingerprint"), F.col("h_edited").alias("edited_fingerprint"),
-        *(likeness(F.col("h_text"), F.col(f"h_{c}"), F.col("c_text"), F.col(f"c_{c}")).alias(f"near_{c}") for c in ("edited", "next")),
-    )
-    d = Scratch(spark, "fingerprint").keep(d, "hashes")
-    collisions = colliding_texts(spark, docs, d, id_col, text_col)
+    scratch, d = Scratch(spark, "fingerprint"), keyed(docs, id_col, text_col)
+    prints = d.select(*KEY, F.char_length("text").alias("n_chars"), wide_hash(canonical(F.col("text"))).alias("fingerprint"))
+    # Counted before the shuffle, so equal rows are one row a task there.
+    keys = scratch.keep(prints.groupBy(*KEY, "n_chars", "fingerprint").agg(F.count("*").alias("rows")), "keys")
+    collisions = colliding_texts(keys, d)
     if collisions is not None:
-        mine = docs.select(F.col(id_col).cast("long").alias("doc_id"), canonical(F.coalesce(F.col(text_col), F.lit(""))).alias("canon")).withColumn("fingerprint", wide_hash(F.col("canon")))
-        marks = mine.join(collisions, ["fingerprint", "canon"]).select("doc_id", "ordinal").distinct()
-        d = d.join(marks, "doc_id", "left").withColumn("fingerprint", F.concat_ws("-", "fingerprint", F.col("ordinal").cast("string"))).drop("ordinal")
-    return d
+        named = keys.join(collisions, ["fingerprint", "h1", "h2"], "left")
+        keys = scratch.keep(named.withColumn("fingerprint", F.concat_ws("-", "fingerprint", F.col("ordinal").cast("string"))).drop("ordinal"), "named")
+    follow = scratch.keep(successors(scratch, keys), "follow")
+    # One text a key: both sides below read this one shuffle. Null ids go as a text of their own kind.
+    own = [F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("id"), "h1", "h2"]
+    texts = d.select(*own, "text").groupBy("id", "h1", "h2").agg(F.any_value("text").alias("text"))
+    half = F.floor(F.col("n_chars") / 2).cast("int")
+    plan = follow.select("*", half.alias("half"), F.coalesce(F.col("doc_id").cast("string"), F.lit("none")).alias("id"))
+    after = plan.select(F.col("id").alias("of_id"), F.col("h1").alias("of_h1"), F.col("h2").alias("of_h2"), "half", F.coalesce(F.col("n_id").cast("string"), F.lit("none")).alias("id"), F.col("n_h1").alias("h1"), F.col("n_h2").alias("h2"))
+    prefix = after.join(texts, ["id", "h1", "h2"]).select(F.col("of_id").alias("id"), F.col("of_h1").alias("h1"), F.col("of_h2").alias("h2"), F.expr("left(text, half)").alias("prefix"))
+    rows = plan.join(texts, ["id", "h1", "h2"]).join(prefix, ["id", "h1", "h2"])
+    # Of equal rows all but one are followed by their equal.
+    rows = rows.withColumn("nth", F.explode(F.sequence(F.lit(1).cast("long"), F.col("rows"))))
+    rows = rows.withColumn("edited", F.concat(F.expr("left(text, n_chars - half)"), F.when(F.col("nth") == 1, F.col("prefix")).otherwise(F.expr("left(text, half)"))))
+    rows = rows.select("doc_id", F.col("n_chars").cast("long").alias("n_chars"), "fingerprint", "n_print", "nth", "text", F.sha2(F.col("edited"), 256).alias("edited_sha256"), canonical(F.col("edited")).alias("c_edited"))
+    rows = rows.withColumn("edited_fingerprint", wide_hash(F.col("c_edited")))
+    return rows.select(
+        "doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
+        F.when(F.substring("fingerprint", 1, 32) == F.col("edited_fingerprint"), likeness(F.lit(1), F.lit(1), canonical(F.col("text")), F.col("c_edited"))).otherwise(F.lit(0.0)).alias("near_edited"),
+        F.when((F.col("nth") > 1) | (F.col("fingerprint") == F.col("n_print")), F.lit(1.0)).otherwise(F.lit(0.0)).alias("near_next"),
+    )

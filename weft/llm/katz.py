@@ -13,14 +13,19 @@ Good-Turing); what falls back to absolute discounting by 1/2 is an order whose l
 fewer than two points, as no Good-Turing discount exists there. alpha(h) is what
 the discounts free, divided by the lower order's mass of the words not seen after h: seen sums are taken over all seen
 words, so the distribution over the vocabulary and one unknown token sums to one. The lowest order discounts words by their
-counts alike and gives the unknown token what that frees (one occurrence where nothing is rare enough). The recursion runs order by order: each block holds the lower order's probability of each of its tokens.
+counts alike and gives the unknown token what that frees (one occurrence where nothing is rare enough). The recursion runs order by
+order: a block keeps the answers to its n-grams of every order, and works out each token's lower probabilities from them.
 
-Single words so frequent that one partition can't hold their followers are, as contexts, spread over all partitions, and
-their partial sums are added up; there are at most HOT of them, whatever the input, as each has a HOT-th of all tokens.
-Longer contexts are not spread: what travels is one entry for each block and distinct n-gram.
+What the sum over seen words needs of the lower order travels as whole numbers: a word seen after h was seen after h' as often as
+its count there says, so that count and the total of h' give its lower probability exactly.
 
-Defined results: a null or empty text is the end token alone; repeated rows are scored and counted as often as they occur; an empty
-table gives no rows; without any training token every token is the unknown one with probability 1.
+Contexts so frequent that one partition can't hold their followers are spread over all partitions by the followers, and their
+partial sums are added up; a context is taken for frequent from its count on, the start of a document among them. There are at most
+as many of them as HOT, whatever the input, as each has a HOT-th of all tokens.
+
+Defined results: a null or empty text is the end token alone; a row without an id is a training row; repeated rows are scored and counted
+as often as they occur; ties don't arise; a very long text is a block of its own; an empty table gives no rows; other columns are not read;
+without any training token every token is the unknown one with probability 1.
 """
 
 from __future__ import annotations
@@ -35,11 +40,12 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import Scratch, bounded_batches
+from weft.llm.common import Scratch, bounded_batches, free_shuffles
 
-ORDER, K = 2, 5
-BLOCK_TOKENS = 1_500_000
-HOT = 512
+ORDER, K = 3, 5
+BLOCK_TOKENS = 1_000_000
+#: Most frequent contexts; below that, as many as there are partitions.
+HOT = 1 << 16
 WORDS = 400_000
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 _STEP = np.uint64(6364136223846793005)
@@ -57,8 +63,8 @@ class WordHashes(dict):
 _WORDS = WordHashes()
 
 
-def held_out(doc_id: int) -> bool:
-    return zlib.crc32(str(doc_id).encode()) % 7 == 2
+def held_out(doc_id: int | None) -> bool:
+    return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -112,7 +118,7 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, tokens: int = BLOCK_T
 
         def block() -> pa.RecordBatch:
             names, at = np.unique(np.concatenate(words), return_inverse=True)
-            data = _pack(np.array(ids, np.int64), np.array(lengths, np.int64), _deltas(names), at.astype(np.uint32))
+            data = _pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array(lengths, np.int64), _deltas(names), at.astype(np.uint32))
             return _arrow(["block", "data"], [pa.int64(), pa.binary()], [((part << 24) + nth, data)])
 
         for batch in batches:
@@ -139,10 +145,10 @@ class Block:
     """The documents of a block as arrays over all of its tokens."""
 
     def __init__(self, data: bytes):
-        ids, lengths, *names, self.word = _unpack(data)
-        self.ids, self.lengths, self.names = ids, lengths, _hashes(names[0]) if names else None
+        ids, none, lengths, *names, self.word = _unpack(data)
+        self.ids, self.none, self.lengths, self.names = ids, none.astype(bool), lengths, _hashes(names[0]) if names else None
         self.starts = np.cumsum(lengths) - lengths
-        self.train_doc = np.array([not held_out(i) for i in ids.tolist()], bool)
+        self.train_doc = np.array([bool(n) or not held_out(i) for i, n in zip(ids.tolist(), none.tolist(), strict=True)], bool)
         self.train = np.repeat(self.train_doc, lengths)
         self.place = (np.arange(len(self.word)) - np.repeat(self.starts, lengths)).astype(np.int32)
 
@@ -251,40 +257,50 @@ def _scored(b: Block, counts: np.ndarray, p: np.ndarray, words: Unigrams) -> pa.
     """The result's rows of one block: counts by word, probabilities by token."""
     base = np.log10((counts + 1) / (words.total + words.distinct + 1))[b.word]
     add = lambda x: np.add.reduceat(x, b.starts)
-    cols = [b.ids, ~b.train_doc, b.lengths, add((counts > 0)[b.word].astype(np.int64)), np.full(len(b.ids), words.total, np.int64), add(base), add(np.log10(p))]
+    cols = [pa.array(b.ids, mask=b.none), ~b.train_doc, b.lengths, add((counts > 0)[b.word].astype(np.int64)), np.full(len(b.ids), words.total, np.int64), add(base), add(np.log10(p))]
     kinds = [pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64()]
-    return pa.Table.from_arrays([pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCORES.split(", ")])
+    return pa.Table.from_arrays([x if isinstance(x, pa.Array) else pa.array(x, k) for x, k in zip(cols, kinds, strict=True)], names=[f.split()[0] for f in SCORES.split(", ")])
 
 
 def _with_answers(stored: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    """run(block, data, counts, low, answers by part) -> rows, for each block."""
+    """run(block, data, counts, low, answers by part as they were packed) -> rows, for each block."""
     none = lambda c: F.lit(None).cast("binary").alias(c)
     both = stored.select("block", F.lit(-1).cast("long").alias("part"), "data", "counts", "low").unionByName(answers.select("block", "part", "data", none("counts"), none("low")))
 
     def group(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
         got = sorted(zip(*(t[c].to_pylist() for c in ("part", "data", "counts", "low")), strict=True), key=lambda x: x[0])
-        return run(key[0].as_py(), *got[0][1:], [_unpack(x[1]) for x in got[1:]])
+        return run(key[0].as_py(), *got[0][1:], [x[1] for x in got[1:]])
 
     return both.groupBy("block").applyInArrow(group, schema)
 
 
-def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, data: bytes, counts: bytes, low: bytes | None) -> dict:
+class Level:
+    """What a block knows of one order, by token: the probability, its n-gram's count, and its context's total with the lowest bit
+    for whether any follower is rare enough to be discounted."""
+
+    def __init__(self, p: np.ndarray, count: np.ndarray, total: np.ndarray):
+        self.p, self.count, self.total = p, count, total
+
+
+def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, b: Block, c: np.ndarray, keys: np.ndarray, lower: Level | None) -> dict:
     """Distinct n-grams of a block as (context, word), in the order in which they are sent; index: each token's place there.
 
     Words have keys whose upper bits are the part that owns them, in the order of the block's own indexes, so sorting small
     whole numbers sorts by owner. A frequent context's n-grams are owned by their words' parts instead, and come last.
     """
-    b, (c, keys) = Block(data), _unpack(counts)
-    c, keys = c.astype(np.int64), _hashes(keys)
-    width = len(keys) + 1
+    width = np.int64(len(keys) + 1)
     ctx_keys, ctx = b.contexts(n, keys)
-    p = _unpack(low)[0] if low is not None else None
-    hot_ctx = np.zeros(len(ctx_keys), bool)
-    if n == 2:
-        hot_ctx[1:] = c >= hot_from
-    token_hot = hot_ctx[ctx]
+    # How often each token's context occurs: the count of the n-gram of one order less that ends before it; documents start as often as they end.
+    before = c[b.word] if lower is None else lower.count
+    often = np.empty(len(before), np.int64)
+    often[1:] = before[:-1]
+    often[b.place == 0] = c[b.word[b.lengths[0] - 1]]
+    token_hot = often >= hot_from
     top = np.int64(len(ctx_keys)) * width
-    mixed = np.where(token_hot, top + b.word * np.int64(len(ctx_keys)) + ctx, ctx * np.int64(width) + b.word)
+    word_part = (keys >> np.uint64(40)).astype(np.int64)
+    mixed = ctx * width + b.word
+    mixed[token_hot] += top * (1 + word_part[b.word[token_hot]])
+    del often, before
     grams, first, index = np.unique(mixed, return_index=True, return_inverse=True)
     del mixed
     cold = int(np.searchsorted(grams, top))
@@ -292,8 +308,10 @@ def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, data: byt
     owner = ctx_keys[gram_ctx] >> np.uint64(40) if n == 2 else _owner(ctx_keys[gram_ctx], parts).astype(np.uint64)
     owner[cold:] = keys[gram_word[cold:]] >> np.uint64(40)
     seen = np.bincount(index[b.train], minlength=len(grams))
-    sent_low = c[gram_word] if p is None else p[first]
-    q = {"b": b, "counts": c, "index": index, "low": words(sent_low) if p is None else sent_low, "sent_low": sent_low, "seen": seen, "keys": keys[gram_word], "slices": []}
+    sent_low = c[gram_word] if lower is None else lower.count[first]
+    low = words(sent_low) if lower is None else lower.p[first]
+    low_total = None if lower is None else lower.total[first]
+    q = {"index": index, "low": low, "sent_low": sent_low, "low_total": low_total, "seen": seen, "keys": keys[gram_word], "slices": []}
     halves = {}
     for lo, hi in ((0, cold), (cold, len(grams))):
         for part, i, j in _cuts(owner[lo:hi].astype(np.int64)):
@@ -301,8 +319,8 @@ def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, data: byt
     for part in sorted(halves):
         at = np.concatenate([np.arange(i, j) for i, j in halves[part]])
         g = gram_ctx[at]
-        runs = np.flatnonzero(np.append(True, g[1:] != g[:-1]))
-        q["slices"].append((part, at, ctx_keys[g[runs]], hot_ctx[g[runs]], np.diff(np.append(runs, len(at)))))
+        runs = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | ((at[1:] >= cold) != (at[:-1] >= cold))))
+        q["slices"].append((part, at, ctx_keys[g[runs]], at[runs] >= cold, np.diff(np.append(runs, len(at))), at[runs]))
     return q
 
 
@@ -321,7 +339,7 @@ def _add_words(t: pa.Table) -> pa.Table:
     return _table(_ANSWER_NAMES, _ANSWER_KINDS, rows)
 
 
-def _adder(n: int, words: Unigrams):
+def _adder(n: int, words: Unigrams, d_lower: np.ndarray | None):
     def add_ngrams(t: pa.Table) -> pa.Table:
         """Counts of a part's n-grams for each block that asked; of their contexts: the followers' total, how many of them
         occur once, twice, ... up to K times, and the lower order's mass of those that occur at all."""
@@ -333,8 +351,13 @@ def _adder(n: int, words: Unigrams):
         _, first, at = np.unique(ctx * width + word, return_index=True, return_inverse=True)
         del word, word_names
         total = np.bincount(at, np.concatenate([a[5] for *_, a in got]).astype(np.float64), len(first)).astype(np.int64)
-        of, low = ctx[first], np.concatenate([a[4] for *_, a in got])[first]
-        low = words(low.astype(np.int64)) if n == 2 else low
+        of, low = ctx[first], np.concatenate([a[4] for *_, a in got])[first].astype(np.int64)
+        if d_lower is None:
+            low = words(low)
+        else:
+            under = np.concatenate([np.repeat(a[6], a[2]) for *_, a in got])[first]
+            low = _seen_probability(low, d_lower, under)
+            del under
         sums = [np.bincount(of, total.astype(np.float64), len(names)).astype(np.int64)]
         sums += [np.bincount(of, total == r, len(names)).astype(np.int64) for r in range(1, K + 1)]
         mass = np.bincount(of, np.where(total > 0, low, 0.0), len(names))
@@ -357,6 +380,13 @@ def _adder(n: int, words: Unigrams):
     return add_ngrams
 
 
+def _seen_probability(count: np.ndarray, d: np.ndarray, total: np.ndarray) -> np.ndarray:
+    """d(c) c / C of n-grams that occur, 0 of others; total holds C and, in its lowest bit, whether anything after h is rare."""
+    whole = total >> 1
+    whole = whole + np.where((whole > 0) & (total & 1 == 0), 0.5, 0.0)
+    return np.where(count > 0, d[np.minimum(count, K + 1)] * count / np.maximum(whole, 1), 0.0)
+
+
 def _katz(total: np.ndarray, low: np.ndarray, ctx_at: np.ndarray, n_ctx: np.ndarray, rare: np.ndarray, once: list[np.ndarray], mass: np.ndarray, d: np.ndarray) -> np.ndarray:
     """P(w | h) of n-grams from their counts, the lower order's probabilities and their contexts' sums. rare: whether a
     context has followers to discount; the sums beside n_ctx are asked for only where some n-gram backs off."""
@@ -387,65 +417,103 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
 
     answers = scratch.keep(blocks.mapInArrow(send_words, _SENT).groupBy("part").applyInArrow(_add_words, _ANSWER), "answers-1")
     words = Unigrams(_sum_stats(answers))
-    hot_from = max(2, words.total // HOT)
+    hot_from = max(2, words.total // min(HOT, 2 * parts))
     stored = blocks.select("block", "data", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("low"))
 
     def first(block: int, data: bytes, _c, _l, got: list) -> pa.Table:
-        b, counts = Block(data), np.concatenate([x[0].astype(np.int64) for x in got])
-        keys = np.concatenate([_hashes(x[1]) for x in got])
+        b, got = Block(data), [_unpack(x) for x in got]
+        counts, keys = np.concatenate([x[0].astype(np.int64) for x in got]), np.concatenate([_hashes(x[1]) for x in got])
         if order == 1:
             return _scored(b, counts, words(counts)[b.word], words)
-        return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, _pack(b.ids, b.lengths, b.word.astype(np.uint32)), _pack(_smallest(counts), _deltas(keys)), None)])
+        return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, _pack(b.ids, b.none.view(np.uint8), b.lengths, b.word.astype(np.uint32)), _pack(_smallest(counts), _deltas(keys)), None)])
 
     if order == 1:
         return _with_answers(stored, answers.where("block is not null"), first, SCORES)
     stored = scratch.keep(_with_answers(stored, answers.where("block is not null"), first, _STORED), "order-1")
     scratch.drop("blocks", "answers-1")
+    known: list[tuple] = []
     for n in range(2, order + 1):
-        out = _raise(scratch, stored, n, parts, words, hot_from, last=n == order)
+        free_shuffles(spark)
+        out = _raise(scratch, stored, n, parts, words, hot_from, known, last=n == order)
         if n < order:
             stored = scratch.keep(out, f"order-{n}")
             scratch.drop(f"answers-{n}", f"order-{n - 1}")
     return out
 
 
-def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigrams, hot_from: int, last: bool) -> DataFrame:
-    """From the probabilities of order n - 1 to those of order n; scores where it is the last one."""
+def _framed(parts: list[bytes]) -> bytes:
+    return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
+
+
+def _unframed(data: bytes) -> list[bytes]:
+    out, at = [], 0
+    while at < len(data):
+        n = int.from_bytes(data[at : at + 8], "little")
+        out.append(data[at + 8 : at + 8 + n])
+        at += 8 + n
+    return out
+
+
+def _level(q: dict, got: list[bytes], d: np.ndarray, hot_names: np.ndarray, hot_sums: np.ndarray) -> Level:
+    """A request's answers as probabilities, counts and contexts' totals by token."""
+    n = len(q["seen"])
+    probs, count, whole = np.empty(n), np.empty(n, np.int64), np.empty(n, np.int64)
+    for (_, at, names, hot, lengths, _), (total, n_ctx, *once, mass) in zip(q["slices"], map(_unpack, got), strict=True):
+        n_ctx, mass = n_ctx.astype(np.int64), mass.copy()
+        rare, n_ctx, once = (n_ctx & 1) > 0, (n_ctx >> 1).astype(np.float64), [x.astype(np.float64) for x in once]
+        if hot.any() and len(hot_names):
+            k = np.searchsorted(hot_names, names).clip(max=len(hot_names) - 1)
+            match = hot & (hot_names[k] == names)
+            sums = hot_sums[k[match]].T
+            for x, y in zip([n_ctx, *once, mass], sums, strict=True):
+                x[match] = y
+            rare[match] = sums[1 : K + 1].sum(axis=0) > 0
+        runs = np.repeat(np.arange(len(names)), lengths)
+        probs[at] = _katz(total.astype(np.int64), q["low"][at], runs, n_ctx, rare, once, mass, d)
+        count[at], whole[at] = total, (2 * n_ctx.astype(np.int64) + rare)[runs]
+    return Level(probs[q["index"]], count[q["index"]], whole[q["index"]])
+
+
+def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigrams, hot_from: int, known: list[tuple], last: bool) -> DataFrame:
+    """From the answers up to order n - 1 to those of order n; scores where it is the last one. known: the discounts and frequent
+    contexts of the orders from 2 on, to which this one's are added."""
+    below = list(known)
+
+    def lower(b: Block, c: np.ndarray, keys: np.ndarray, low: bytes | None) -> Level | None:
+        level = None
+        for m, (answers, of) in enumerate(zip(_unframed(low or b""), below, strict=True), 2):
+            level = _level(_ngram_request(m, parts, words, hot_from, b, c, keys, level), _unframed(answers), *of)
+        return level
+
+    def request(data: bytes, counts: bytes, low: bytes | None) -> tuple[Block, np.ndarray, dict]:
+        b, (c, keys) = Block(data), _unpack(counts)
+        c, keys = c.astype(np.int64), _hashes(keys)
+        return b, c, _ngram_request(n, parts, words, hot_from, b, c, keys, lower(b, c, keys, low))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
-                q = _ngram_request(n, parts, words, hot_from, *s)
-                for part, at, ctx, hot, lengths in q["slices"]:
-                    low = q["sent_low"][at]
-                    data = _pack(_deltas(ctx), hot.view(np.uint8), _smallest(lengths), q["keys"][at], _smallest(low) if n == 2 else low, _smallest(q["seen"][at]))
+                q = request(*s)[2]
+                for part, at, ctx, hot, lengths, runs in q["slices"]:
+                    under = [] if q["low_total"] is None else [_smallest(q["low_total"][runs])]
+                    data = _pack(_deltas(ctx), hot.view(np.uint8), _smallest(lengths), q["keys"][at], _smallest(q["sent_low"][at]), _smallest(q["seen"][at]), *under)
                     yield _arrow(["part", "block", "data"], [pa.int64(), pa.int64(), pa.binary()], [(part, block, data)])
 
     sent = stored.select("block", "data", "counts", "low").mapInArrow(send, _SENT)
-    answers = scratch.keep(sent.groupBy("part").applyInArrow(_adder(n, words), _ANSWER), f"answers-{n}")
+    answers = scratch.keep(sent.groupBy("part").applyInArrow(_adder(n, words, below[-1][0] if below else None), _ANSWER), f"answers-{n}")
+    del sent
+    free_shuffles(scratch.spark)
     d = discounts(_sum_stats(answers)["counts"])
     # The frequent contexts, added up before they get here: at most HOT rows, as each has a HOT-th of all tokens.
     hot = {r.hot_ctx: tuple(r)[1:] for r in answers.where("hot_ctx is not null").groupBy("hot_ctx").agg(*(F.sum(c).alias(c) for c in _HOT[1:])).collect()}
     hot_names = np.array(sorted(h & (2**64 - 1) for h in hot), np.uint64)
     hot_sums = np.array([hot[int(h)] for h in hot_names.view(np.int64)], np.float64).reshape(-1, K + 2)
+    known.append((d, hot_names, hot_sums))
 
     def take(block: int, data: bytes, counts: bytes, low: bytes | None, got: list) -> pa.Table:
-        q = _ngram_request(n, parts, words, hot_from, data, counts, low)
-        probs = np.empty(len(q["seen"]))
-        for (_, at, names, _, lengths), (total, n_ctx, *once, mass) in zip(q["slices"], got, strict=True):
-            n_ctx, mass = n_ctx.astype(np.int64), mass.copy()
-            rare, n_ctx, once = (n_ctx & 1) > 0, (n_ctx >> 1).astype(np.float64), [x.astype(np.float64) for x in once]
-            if len(hot_names):
-                k = np.searchsorted(hot_names, names).clip(max=len(hot_names) - 1)
-                match = hot_names[k] == names
-                sums = hot_sums[k[match]].T
-                for x, y in zip([n_ctx, *once, mass], sums, strict=True):
-                    x[match] = y
-                rare[match] = sums[1 : K + 1].sum(axis=0) > 0
-            probs[at] = _katz(total.astype(np.int64), q["low"][at], np.repeat(np.arange(len(names)), lengths), n_ctx, rare, once, mass, d)
-        p = probs[q["index"]]
-        if last:
-            return _scored(q["b"], q["counts"], p, words)
-        return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, data, counts, _pack(p))])
+        if not last:
+            return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, data, counts, (low or b"") + _framed([_framed(got)]))])
+        b, c, q = request(data, counts, low)
+        return _scored(b, c, _level(q, got, d, hot_names, hot_sums).p, words)
 
     return _with_answers(stored, answers.where("block is not null"), take, SCORES if last else _STORED)

@@ -1,11 +1,12 @@
 """Media columns: byte payloads as 8-bit grey PNG images, read back with checks, and cosine-transform hashes.
 
-An image is written with the zlib and crc32 of the standard library and read by walking its chunks: every chunk's
-checksum is tested, the IDAT data is inflated, and the five row filters are undone with numpy. The feature is a hash of
-the low frequencies of a two-dimensional cosine transform.
+An image is written with the zlib and crc32 of the standard library, a filter for each row, into a binary column of a table, and
+read from it by walking its chunks: every chunk's checksum is tested, the IDAT data is inflated, and the row filters are undone
+with numpy. The feature is a hash of the low frequencies of a two-dimensional cosine transform.
 
 Defined results: a null text counts as the empty one; the empty payload becomes 64 zero bytes, hence a 64 x 1 image;
-equal texts have equal values; columns of the input other than those asked for are not read.
+equal texts, repeated rows among them, have equal values; a null id stays null; an empty table gives no rows; a very long text is
+one image, held by one task; columns of the input other than those asked for are not read.
 """
 
 from __future__ import annotations
@@ -17,9 +18,9 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
-from weft.llm.common import own_worker
+from weft.llm.common import Scratch, bounded_batches, own_worker
 
 SIGNATURE = b"\x89PNG\r\n\x1a\n"
 WIDTH = 64
@@ -31,55 +32,61 @@ def _chunk(kind: bytes, data: bytes) -> bytes:
     return struct.pack(">I", len(data)) + kind + data + struct.pack(">I", zlib.crc32(data, zlib.crc32(kind)))
 
 
-def png_encode(payload: bytes, width: int = WIDTH, level: int = 2, row_filter: int = 0) -> bytes:
-    """payload's length must be a positive multiple of width. row_filter: 0 none, 1 left, 2 up."""
+def png_encode(payload: bytes, width: int = WIDTH, level: int = 2, row_filter: int | None = None) -> bytes:
+    """payload's length must be a positive multiple of width. row_filter: 0 to 4 for all rows; None picks none, left or up row by row,
+    the one whose bytes, taken as signed numbers, have the smallest sum of sizes (the first one on ties)."""
     rows = np.frombuffer(payload, np.uint8).reshape(-1, width)
-    if row_filter == 1:
-        shown = rows.copy()
-        shown[:, 1:] -= rows[:, :-1]
-    elif row_filter == 2:
-        shown = rows.copy()
-        shown[1:] -= rows[:-1]
-    else:
-        shown = rows
+    left, up = np.zeros_like(rows), np.zeros_like(rows)
+    left[:, 1:], up[1:] = rows[:, :-1], rows[:-1]
     lines = np.empty((len(rows), width + 1), np.uint8)
-    lines[:, 0] = row_filter
-    lines[:, 1:] = shown
+    if row_filter is None:
+        shown = np.stack([rows, rows - left, rows - up])
+        lines[:, 0] = np.minimum(shown, -shown).sum(axis=2, dtype=np.int64).argmin(axis=0)
+        lines[:, 1:] = shown[lines[:, 0], np.arange(len(rows))]
+    else:
+        corner = np.zeros_like(rows)
+        corner[1:, 1:] = rows[:-1, :-1]
+        guess = _guess(np.full(len(rows), row_filter)[:, None], *(x.astype(np.int16) for x in (left, up, corner)))
+        lines[:, 0], lines[:, 1:] = row_filter, rows - guess.astype(np.uint8)
     head = struct.pack(">IIBBBBB", width, len(rows), 8, 0, 0, 0, 0)
     return SIGNATURE + _chunk(b"IHDR", head) + _chunk(b"IDAT", zlib.compress(lines, level)) + _chunk(b"IEND", b"")
 
 
+def _guess(kind: np.ndarray, left: np.ndarray, up: np.ndarray, corner: np.ndarray) -> np.ndarray:
+    """What the row filters 0 to 4 subtract, from the neighbours to the left, above, and above to the left."""
+    around = left + up - corner
+    a, b, c = np.abs(around - left), np.abs(around - up), np.abs(around - corner)
+    nearest = np.where((a <= b) & (a <= c), left, np.where(b <= c, up, corner))
+    return np.choose(kind, [np.zeros_like(left), left, up, (left + up) >> 1, nearest])
+
+
 def unfilter(lines: np.ndarray) -> np.ndarray:
-    """Undoes the filters of rows whose first byte names them; one byte a sample."""
+    """Undoes the filters of rows whose first byte names them; one byte a sample.
+
+    Without average and Paeth rows, rows that look left are summed along themselves and stretches of rows that look up along
+    their columns. With them, all rows advance together along diagonals: a diagonal needs the two before it alone.
+    """
     kinds, raw = lines[:, 0], lines[:, 1:]
+    if (kinds > 4).any():
+        raise ValueError(f"unknown row filter {kinds.max()}")
     if not kinds.any():
         return raw
-    if (kinds == 2).all():
-        return np.cumsum(raw, axis=0, dtype=np.uint8)
-    out = np.zeros((len(raw) + 1, raw.shape[1]), np.uint8)
-    for i, kind in enumerate(kinds.tolist()):
-        up, row = out[i], raw[i]
-        if kind == 0:
-            out[i + 1] = row
-        elif kind == 1:
-            out[i + 1] = np.cumsum(row, dtype=np.uint8)
-        elif kind == 2:
-            out[i + 1] = row + up
-        elif kind in (3, 4):
-            left = corner = 0
-            line = out[i + 1]
-            for j in range(len(row)):
-                above = int(up[j])
-                if kind == 3:
-                    guess = (left + above) >> 1
-                else:
-                    near = sorted(((abs(above - corner), 0, left), (abs(left - corner), 1, above), (abs(left + above - 2 * corner), 2, corner)))
-                    guess = near[0][2]
-                left = (int(row[j]) + guess) & 255
-                line[j], corner = left, above
-        else:
-            raise ValueError(f"unknown row filter {kind}")
-    return out[1:]
+    if (kinds <= 2).all():
+        out = raw.copy()
+        out[kinds == 1] = np.cumsum(raw[kinds == 1], axis=1, dtype=np.uint8)
+        up = kinds == 2
+        turns = np.flatnonzero(np.diff(np.concatenate([[False], up, [False]])))
+        for a, b in zip(turns[::2].tolist(), turns[1::2].tolist(), strict=True):
+            first = max(a - 1, 0)
+            out[first:b] = np.cumsum(out[first:b], axis=0, dtype=np.uint8)
+        return out
+    n, width = raw.shape
+    out = np.zeros((n + 1, width + 1), np.int16)
+    for k in range(n + width - 1):
+        i = np.arange(max(0, k - width + 1), min(n, k + 1))
+        j = k - i
+        out[i + 1, j + 1] = (raw[i, j] + _guess(kinds[i], out[i + 1, j], out[i, j + 1], out[i, j])) & 255
+    return out[1:, 1:].astype(np.uint8)
 
 
 def png_decode(image: bytes) -> np.ndarray:
@@ -138,28 +145,44 @@ def cosine_hash(samples: np.ndarray) -> bytes:
     return np.packbits(low > np.median(low)).tobytes()
 
 
+STORED = "doc_id long, n_bytes long, media binary"
 SCHEMA = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, media binary"
 
 
-def media_columns(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", keep_media: bool = True) -> DataFrame:
-    """One image a row, read back before its figures are taken. keep_media: whether the image's bytes are returned."""
+def store_media(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """One image a row in a binary column, with the length of what it holds."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("media")
+        for batch in batches:
+            raw = [x or b"" for x in batch.column(1).cast(pa.binary()).to_pylist()]
+            images = [png_encode(x + bytes(-len(x) % WIDTH if x else WIDTH)) for x in raw]
+            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(map(len, raw), pa.int64()), pa.array(images, pa.binary())], names=[f.split()[0] for f in STORED.split(", ")])
+
+    return docs.select(id_col, text_col).mapInArrow(run, STORED)
+
+
+def media_features(stored: DataFrame) -> DataFrame:
+    """The figures of a binary column of images, all of them from the bytes read back. A damaged image raises."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("media")
         for batch in batches:
-            cols: list[list] = [[] for _ in range(8)]
-            for raw in batch.column(1).cast(pa.binary()).to_pylist():
-                raw = raw or b""
-                image = png_encode(raw + bytes(-len(raw) % WIDTH if raw else WIDTH))
+            cols: list[list] = [[] for _ in range(6)]
+            for image in batch.column(2).to_pylist():
                 samples = png_decode(image)
                 back = samples.tobytes()
-                row = (
-                    len(raw), len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(image),
-                    hashlib.sha256(image).hexdigest(), cosine_hash(samples).hex(), image if keep_media else None,
-                )
+                row = (len(back), hashlib.sha256(back).hexdigest(), zlib.crc32(back[-64:]), len(image), hashlib.sha256(image).hexdigest(), cosine_hash(samples).hex())
                 for c, v in zip(cols, row, strict=True):
                     c.append(v)
-            kinds = (pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.binary())
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), *(pa.array(c, k) for c, k in zip(cols, kinds, strict=True))], names=[f.split()[0] for f in SCHEMA.split(", ")])
+            kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+            made = [pa.array(c, k) for c, k in zip(cols, kinds, strict=True)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *made, batch.column(2)], names=[f.split()[0] for f in SCHEMA.split(", ")])
+
+    return stored.select("doc_id", "n_bytes", "media").mapInArrow(run, SCHEMA)
+
 
-    return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
+def media_columns(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """Images are written to a table first; what is returned is read from it, with the images themselves in column media."""
+    bounded_batches(spark)
+    return media_features(Scratch(spark, "media").keep(store_media(docs, id_col, text_col), "images"))

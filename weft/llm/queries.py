@@ -80,8 +80,7 @@ def op9_bpe_automaton(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_media_columns(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weft.llm.media import media_columns
 
-    bounded_batches(spark)
-    return media_columns(table(spark, sf_dir, "documents"), keep_media=False).drop("media")
+    return media_columns(spark, table(spark, sf_dir, "documents")).drop("media")
 
 
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
