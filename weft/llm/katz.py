@@ -30,6 +30,7 @@ without any training token every token is the unknown one with probability 1.
 
 from __future__ import annotations
 
+import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -97,6 +98,27 @@ def _hashes(deltas: np.ndarray) -> np.ndarray:
     return np.cumsum(deltas, dtype=np.uint64)
 
 
+def _distinct(x: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The distinct values in order, a place of each, and each element's value's number."""
+    order = np.argsort(x)
+    values = x[order]
+    new = np.ones(len(x), bool)
+    np.not_equal(values[1:], values[:-1], out=new[1:])
+    number = np.empty(len(x), np.int64)
+    number[order] = np.cumsum(new) - 1
+    return values[new], order[new], number
+
+
+def _tuple_hash(columns: list[np.ndarray]) -> np.ndarray:
+    """One hash a row of several key columns; a single column of keys stands for itself."""
+    h = columns[0]
+    for c in columns[1:]:
+        h = (h * _STEP ^ (h >> np.uint64(29))) + (c + np.uint64(1)) * np.uint64(0x9E3779B97F4A7C15)
+        h = (h ^ (h >> np.uint64(32))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(29)
+    return h
+
+
 def _smallest(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts.astype(np.uint8)
 
@@ -152,21 +174,29 @@ class Block:
         self.train = np.repeat(self.train_doc, lengths)
         self.place = (np.arange(len(self.word)) - np.repeat(self.starts, lengths)).astype(np.int32)
 
-    def contexts(self, n: int, keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Of the n - 1 tokens before each token: distinct keys, ascending by the part that owns them, and each token's place there."""
-        before = np.zeros(len(self.word), np.int64)
-        before[1:] = self.word[:-1].astype(np.int64) + 1
-        before[self.place < 1] = 0
-        if n == 2:  # one word: its own key; 0 stands for the start of a document
-            return np.concatenate([np.zeros(1, np.uint64), keys]), before
-        h = np.concatenate([np.zeros(1, np.uint64), keys])[before]
-        for back in range(2, n):
-            more = np.zeros(len(h), np.uint64)
-            more[back:] = keys[self.word[:-back]]
-            more[self.place < back] = np.uint64((1 << 63) + back)
-            h = (h * _STEP ^ (h >> np.uint64(29))) + more * np.uint64(0x9E3779B97F4A7C15)
-        h ^= h >> np.uint64(32)
-        return np.unique(h * np.uint64(0x94D049BB133111EB), return_inverse=True)
+    def _back(self, n: int) -> np.ndarray:
+        """The number, from 1 on, of the word n tokens before each token, 0 before a document's start."""
+        out = np.zeros(len(self.word), np.int64)
+        out[n:] = self.word[:-n].astype(np.int64) + 1
+        out[self.place < n] = 0
+        return out
+
+    def contexts(self, n: int, keys: np.ndarray, parts: int) -> tuple[list[np.ndarray], np.ndarray, np.ndarray]:
+        """Of the n - 1 tokens before each token: the distinct ones as columns of keys, ascending by the part that owns them and then
+        by the columns; their parts; and each token's place among them. Key 0 stands for the start of a document."""
+        named = np.concatenate([np.zeros(1, np.uint64), keys])
+        if n == 2:
+            return [named], (named >> np.uint64(40)).astype(np.int64), self._back(1)
+        back = [self._back(k) for k in range(n - 1, 0, -1)]
+        at = back[0]
+        for b in back[1:]:
+            _, first, at = _distinct(at * np.int64(len(named)) + b)
+        columns = [named[b[first]] for b in back]
+        owner = _owner(_tuple_hash(columns), parts)
+        order = np.argsort(owner, kind="stable")
+        place = np.empty(len(order), np.int64)
+        place[order] = np.arange(len(order))
+        return [c[order] for c in columns], owner[order], place[at]
 
 
 def _smoothed(n: list[int]) -> list[float]:
@@ -263,15 +293,34 @@ def _scored(b: Block, counts: np.ndarray, p: np.ndarray, words: Unigrams) -> pa.
 
 
 def _with_answers(stored: DataFrame, answers: DataFrame, run, schema: str) -> DataFrame:
-    """run(block, data, counts, low, answers by part as they were packed) -> rows, for each block."""
-    none = lambda c: F.lit(None).cast("binary").alias(c)
-    both = stored.select("block", F.lit(-1).cast("long").alias("part"), "data", "counts", "low").unionByName(answers.select("block", "part", "data", none("counts"), none("low")))
+    """run(block, data, counts, low, (part, answer) by part) -> rows, for each block. stored is dealt by block already where it is a
+    bucketed table, so only the answers move."""
+
+    def group(key: tuple[pa.Scalar, ...], one: pa.Table, t: pa.Table) -> pa.Table:
+        got = sorted(zip(t["part"].to_pylist(), t["data"].to_pylist(), strict=True))
+        return run(key[0].as_py(), *(one[c][0].as_py() for c in ("data", "counts", "low")), got)
+
+    return stored.groupBy("block").cogroup(answers.select("block", "part", "data").groupBy("block")).applyInArrow(group, schema)
+
+
+class Dealt:
+    """Blocks as tables that are bucketed by block, in a scratch folder: what is joined with them by block moves, they don't."""
+
+    def __init__(self, scratch: Scratch, buckets: int):
+        self.scratch, self.buckets, self.names = scratch, buckets, []
 
-    def group(key: tuple[pa.Scalar, ...], t: pa.Table) -> pa.Table:
-        got = sorted(zip(*(t[c].to_pylist() for c in ("part", "data", "counts", "low")), strict=True), key=lambda x: x[0])
-        return run(key[0].as_py(), *got[0][1:], [x[1] for x in got[1:]])
+    def keep(self, df: DataFrame, name: str) -> DataFrame:
+        table = f"weft_{name}_{uuid.uuid4().hex}"
+        df.write.bucketBy(self.buckets, "block").option("path", self.scratch.path(name)).format("parquet").saveAsTable(table)
+        self.names.append((table, name))
+        return self.scratch.spark.table(table)
 
-    return both.groupBy("block").applyInArrow(group, schema)
+    def drop(self) -> None:
+        """Forgets all tables but the last one."""
+        for table, name in self.names[:-1]:
+            self.scratch.spark.sql(f"drop table {table}")
+            self.scratch.drop(name)
+        del self.names[:-1]
 
 
 class Level:
@@ -289,24 +338,24 @@ def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, b: Block,
     whole numbers sorts by owner. A frequent context's n-grams are owned by their words' parts instead, and come last.
     """
     width = np.int64(len(keys) + 1)
-    ctx_keys, ctx = b.contexts(n, keys)
+    columns, ctx_owner, ctx = b.contexts(n, keys, parts)
     # How often each token's context occurs: the count of the n-gram of one order less that ends before it; documents start as often as they end.
     before = c[b.word] if lower is None else lower.count
     often = np.empty(len(before), np.int64)
     often[1:] = before[:-1]
     often[b.place == 0] = c[b.word[b.lengths[0] - 1]]
     token_hot = often >= hot_from
-    top = np.int64(len(ctx_keys)) * width
+    top = np.int64(len(ctx_owner)) * width
     word_part = (keys >> np.uint64(40)).astype(np.int64)
     mixed = ctx * width + b.word
     mixed[token_hot] += top * (1 + word_part[b.word[token_hot]])
-    del often, before
-    grams, first, index = np.unique(mixed, return_index=True, return_inverse=True)
+    del often, before, ctx
+    grams, first, index = _distinct(mixed)
     del mixed
     cold = int(np.searchsorted(grams, top))
-    gram_ctx, gram_word = ctx[first], b.word[first]
-    owner = ctx_keys[gram_ctx] >> np.uint64(40) if n == 2 else _owner(ctx_keys[gram_ctx], parts).astype(np.uint64)
-    owner[cold:] = keys[gram_word[cold:]] >> np.uint64(40)
+    gram_ctx, gram_word = grams % top // width, grams % width
+    owner = ctx_owner[gram_ctx]
+    owner[cold:] = word_part[gram_word[cold:]]
     seen = np.bincount(index[b.train], minlength=len(grams))
     sent_low = c[gram_word] if lower is None else lower.count[first]
     low = words(sent_low) if lower is None else lower.p[first]
@@ -314,26 +363,27 @@ def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, b: Block,
     q = {"index": index, "low": low, "sent_low": sent_low, "low_total": low_total, "seen": seen, "keys": keys[gram_word], "slices": []}
     halves = {}
     for lo, hi in ((0, cold), (cold, len(grams))):
-        for part, i, j in _cuts(owner[lo:hi].astype(np.int64)):
+        for part, i, j in _cuts(owner[lo:hi]):
             halves.setdefault(part, []).append((lo + i, lo + j))
     for part in sorted(halves):
         at = np.concatenate([np.arange(i, j) for i, j in halves[part]])
         g = gram_ctx[at]
         runs = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | ((at[1:] >= cold) != (at[:-1] >= cold))))
-        q["slices"].append((part, at, ctx_keys[g[runs]], at[runs] >= cold, np.diff(np.append(runs, len(at))), at[runs]))
+        q["slices"].append((part, at, [x[g[runs]] for x in columns], at[runs] >= cold, np.diff(np.append(runs, len(at))), at[runs]))
     return q
 
 
 def _add_words(t: pa.Table) -> pa.Table:
-    """Counts of a part's words, in the order of each block that asked."""
+    """Counts of a part's words, in the order of each block that asked, and their ranks among the part's words, the most frequent one first."""
     got = [(p, block, *_unpack(data)) for p, block, data in zip(*(t[c].to_pylist() for c in ("part", "block", "data")), strict=True)]
-    names, at = np.unique(np.concatenate([_hashes(d) for _, _, d, _ in got]), return_inverse=True)
+    names, _, at = _distinct(np.concatenate([_hashes(d) for _, _, d, _ in got]))
     total = np.bincount(at, np.concatenate([n for *_, n in got]).astype(np.float64), len(names)).astype(np.int64)
+    rank = np.empty(len(names), np.uint32)
+    rank[np.argsort(-total, kind="stable")] = np.arange(1, len(names) + 1, dtype=np.uint32)
     rows, i = [], 0
     for p, block, d, _ in got:
         mine = at[i : i + len(d)]
-        # A word's key: its part, then its place there from 1 on.
-        rows.append((p, block, _pack(_smallest(total[mine]), _deltas((np.uint64(p) << np.uint64(40)) + mine.astype(np.uint64) + np.uint64(1))), *_NO_STATS, *_NO_HOT))
+        rows.append((p, block, _pack(_smallest(total[mine]), rank[mine]), *_NO_STATS, *_NO_HOT))
         i += len(d)
     rows.append((got[0][0], None, None, *_stats_row(total), *_NO_HOT))
     return _table(_ANSWER_NAMES, _ANSWER_KINDS, rows)
@@ -344,33 +394,40 @@ def _adder(n: int, words: Unigrams, d_lower: np.ndarray | None):
         """Counts of a part's n-grams for each block that asked; of their contexts: the followers' total, how many of them
         occur once, twice, ... up to K times, and the lower order's mass of those that occur at all."""
         got = [(p, block, _unpack(data)) for p, block, data in zip(*(t[c].to_pylist() for c in ("part", "block", "data")), strict=True)]
-        names, run_ctx = np.unique(np.concatenate([_hashes(a[0]) for *_, a in got]), return_inverse=True)
-        ctx = np.repeat(run_ctx, np.concatenate([a[2] for *_, a in got]))
-        word_names, word = np.unique(np.concatenate([a[3] for *_, a in got]), return_inverse=True)
+        columns = [np.concatenate([_hashes(a[6 if d_lower is not None else 5]) for *_, a in got])]
+        columns += [np.concatenate([a[k] for *_, a in got]) for k in range(7, 7 + n - 2)]
+        _, some, run_ctx = _distinct(columns[0])
+        for c in columns[1:]:
+            values, _, at = _distinct(c)
+            _, some, run_ctx = _distinct(run_ctx * np.int64(len(values)) + at)
+        n_names = len(some)
+        ctx = np.repeat(run_ctx, np.concatenate([a[1] for *_, a in got]))
+        word_names, _, word = _distinct(np.concatenate([a[2] for *_, a in got]))
         width = np.int64(len(word_names) + 1)
-        _, first, at = np.unique(ctx * width + word, return_index=True, return_inverse=True)
+        _, first, at = _distinct(ctx * width + word)
         del word, word_names
-        total = np.bincount(at, np.concatenate([a[5] for *_, a in got]).astype(np.float64), len(first)).astype(np.int64)
-        of, low = ctx[first], np.concatenate([a[4] for *_, a in got])[first].astype(np.int64)
+        total = np.bincount(at, np.concatenate([a[4] for *_, a in got]).astype(np.float64), len(first)).astype(np.int64)
+        of, low = ctx[first], np.concatenate([a[3] for *_, a in got])[first].astype(np.int64)
         if d_lower is None:
             low = words(low)
         else:
-            under = np.concatenate([np.repeat(a[6], a[2]) for *_, a in got])[first]
-            low = _seen_probability(low, d_lower, under)
+            under = np.concatenate([np.repeat(a[5], a[1]) for *_, a in got])[first]
+            low = _seen_probability(low, d_lower, under.astype(np.int64))
             del under
-        sums = [np.bincount(of, total.astype(np.float64), len(names)).astype(np.int64)]
-        sums += [np.bincount(of, total == r, len(names)).astype(np.int64) for r in range(1, K + 1)]
-        mass = np.bincount(of, np.where(total > 0, low, 0.0), len(names))
+        sums = [np.bincount(of, total.astype(np.float64), n_names).astype(np.int64)]
+        sums += [np.bincount(of, total == r, n_names).astype(np.int64) for r in range(1, K + 1)]
+        mass = np.bincount(of, np.where(total > 0, low, 0.0), n_names)
         # The lowest bit of what goes for the total: whether any follower is rare enough to be discounted.
         shown = [2 * sums[0] + (sum(sums[1:]) > 0), *sums[1:]]
-        is_hot = np.zeros(len(names), bool)
-        is_hot[run_ctx] = np.concatenate([a[1] for *_, a in got]).astype(bool)
+        is_hot = np.zeros(n_names, bool)
+        is_hot[run_ctx] = np.concatenate([a[0] for *_, a in got]).astype(bool)
+        names = _tuple_hash([c[some] for c in columns])
         rows, i, r = [], 0, 0
         for p, block, a in got:
-            mine, runs = at[i : i + len(a[3])], run_ctx[r : r + len(a[0])]
-            i, r = i + len(a[3]), r + len(a[0])
+            mine, runs = at[i : i + len(a[2])], run_ctx[r : r + len(a[0])]
+            i, r = i + len(a[2]), r + len(a[0])
             n_of = total[mine]
-            backs_off = np.bincount(np.repeat(np.arange(len(runs)), a[2])[n_of == 0], minlength=len(runs)) > 0
+            backs_off = np.bincount(np.repeat(np.arange(len(runs)), a[1])[n_of == 0], minlength=len(runs)) > 0
             rows.append((p, block, _pack(_smallest(n_of), *(_smallest(np.where(backs_off | (k == 0), x[runs], 0)) for k, x in enumerate(shown)), np.where(backs_off, mass[runs], 0.0)), *_NO_STATS, *_NO_HOT))
         rows.append((got[0][0], None, None, *_stats_row(total), *_NO_HOT))
         for k in np.flatnonzero(is_hot).tolist():
@@ -421,23 +478,30 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     stored = blocks.select("block", "data", F.lit(None).cast("binary").alias("counts"), F.lit(None).cast("binary").alias("low"))
 
     def first(block: int, data: bytes, _c, _l, got: list) -> pa.Table:
-        b, got = Block(data), [_unpack(x) for x in got]
-        counts, keys = np.concatenate([x[0].astype(np.int64) for x in got]), np.concatenate([_hashes(x[1]) for x in got])
+        b, got = Block(data), [(part, *_unpack(x)) for part, x in got]
+        counts = np.concatenate([x[1].astype(np.int64) for x in got])
         if order == 1:
             return _scored(b, counts, words(counts)[b.word], words)
-        return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, _pack(b.ids, b.none.view(np.uint8), b.lengths, b.word.astype(np.uint32)), _pack(_smallest(counts), _deltas(keys)), None)])
+        # A word's key: its part, then its rank there. From here on a block's words go by their keys.
+        keys = np.concatenate([(np.uint64(part) << np.uint64(40)) + rank.astype(np.uint64) for part, _, rank in got])
+        by_key = np.argsort(keys)
+        place = np.empty(len(keys), np.uint32)
+        place[by_key] = np.arange(len(keys), dtype=np.uint32)
+        return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, _pack(b.ids, b.none.view(np.uint8), b.lengths, place[b.word]), _pack(_smallest(counts[by_key]), _deltas(keys[by_key])), None)])
 
     if order == 1:
         return _with_answers(stored, answers.where("block is not null"), first, SCORES)
-    stored = scratch.keep(_with_answers(stored, answers.where("block is not null"), first, _STORED), "order-1")
+    dealt = Dealt(scratch, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    stored = dealt.keep(_with_answers(stored, answers.where("block is not null"), first, _STORED), "order_1")
     scratch.drop("blocks", "answers-1")
     known: list[tuple] = []
     for n in range(2, order + 1):
         free_shuffles(spark)
         out = _raise(scratch, stored, n, parts, words, hot_from, known, last=n == order)
         if n < order:
-            stored = scratch.keep(out, f"order-{n}")
-            scratch.drop(f"answers-{n}", f"order-{n - 1}")
+            stored = dealt.keep(out, f"order_{n}")
+            scratch.drop(f"answers-{n}")
+            dealt.drop()
     return out
 
 
@@ -458,17 +522,18 @@ def _level(q: dict, got: list[bytes], d: np.ndarray, hot_names: np.ndarray, hot_
     """A request's answers as probabilities, counts and contexts' totals by token."""
     n = len(q["seen"])
     probs, count, whole = np.empty(n), np.empty(n, np.int64), np.empty(n, np.int64)
-    for (_, at, names, hot, lengths, _), (total, n_ctx, *once, mass) in zip(q["slices"], map(_unpack, got), strict=True):
+    for (_, at, columns, hot, lengths, _), (total, n_ctx, *once, mass) in zip(q["slices"], map(_unpack, got), strict=True):
         n_ctx, mass = n_ctx.astype(np.int64), mass.copy()
         rare, n_ctx, once = (n_ctx & 1) > 0, (n_ctx >> 1).astype(np.float64), [x.astype(np.float64) for x in once]
         if hot.any() and len(hot_names):
+            names = _tuple_hash(columns)
             k = np.searchsorted(hot_names, names).clip(max=len(hot_names) - 1)
             match = hot & (hot_names[k] == names)
             sums = hot_sums[k[match]].T
             for x, y in zip([n_ctx, *once, mass], sums, strict=True):
                 x[match] = y
             rare[match] = sums[1 : K + 1].sum(axis=0) > 0
-        runs = np.repeat(np.arange(len(names)), lengths)
+        runs = np.repeat(np.arange(len(lengths)), lengths)
         probs[at] = _katz(total.astype(np.int64), q["low"][at], runs, n_ctx, rare, once, mass, d)
         count[at], whole[at] = total, (2 * n_ctx.astype(np.int64) + rare)[runs]
     return Level(probs[q["index"]], count[q["index"]], whole[q["index"]])
@@ -494,9 +559,9 @@ def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigr
         for batch in batches:
             for block, *s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 q = request(*s)[2]
-                for part, at, ctx, hot, lengths, runs in q["slices"]:
+                for part, at, columns, hot, lengths, runs in q["slices"]:
                     under = [] if q["low_total"] is None else [_smallest(q["low_total"][runs])]
-                    data = _pack(_deltas(ctx), hot.view(np.uint8), _smallest(lengths), q["keys"][at], _smallest(q["sent_low"][at]), _smallest(q["seen"][at]), *under)
+                    data = _pack(hot.view(np.uint8), _smallest(lengths), q["keys"][at], _smallest(q["sent_low"][at]), _smallest(q["seen"][at]), *under, _deltas(columns[0]), *columns[1:])
                     yield _arrow(["part", "block", "data"], [pa.int64(), pa.int64(), pa.binary()], [(part, block, data)])
 
     sent = stored.select("block", "data", "counts", "low").mapInArrow(send, _SENT)
@@ -512,8 +577,8 @@ def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigr
 
     def take(block: int, data: bytes, counts: bytes, low: bytes | None, got: list) -> pa.Table:
         if not last:
-            return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, data, counts, (low or b"") + _framed([_framed(got)]))])
+            return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, data, counts, (low or b"") + _framed([_framed([x for _, x in got])]))])
         b, c, q = request(data, counts, low)
-        return _scored(b, c, _level(q, got, d, hot_names, hot_sums).p, words)
+        return _scored(b, c, _level(q, [x for _, x in got], d, hot_names, hot_sums).p, words)
 
     return _with_answers(stored, answers.where("block is not null"), take, SCORES if last else _STORED)
