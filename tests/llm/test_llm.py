@@ -11,10 +11,13 @@ from collections import Counter
 import corpus_pipeline
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 import pytest
+import xxhash
 from tokenizers import Tokenizer
 
 from weft.llm import bpe, katz, media, minhash, packing, pii, quality, secret_scan, warc
+from weft.llm.common import word_hashes
 from weft.llm.fingerprint import fingerprints
 
 ODD = [None, "", " ", "\n\n", "one two", "x" * 5000, "a b c d e f", "a b c d e f", "A B C D E F g", "é 漢字 🙂 <|endoftext|> don't  stop"]
@@ -321,14 +324,22 @@ def test_quality_of_odd_rows_and_held_out_accuracy(spark, odd):
 def test_a_worker_holds_one_operators_caches():
     from weft.llm import common
 
-    common.own_worker("minhash")
-    minhash.shingle_sets([b"a b c d e f"])
-    assert minhash._WORDS
-    common.own_worker("minhash")
-    assert minhash._WORDS
+    path = public_tokenizers.path("word_bpe_49k.json")
+    common.own_worker("packing")
+    packing.word_ids(path)
     common.own_worker("packing")
-    assert not minhash._WORDS
-    assert minhash.shingle_sets([b"a b c d e f"])[0].tolist() == minhash.shingle_sets([b"a b c d e f"])[0].tolist()
+    assert packing.word_ids.cache_info().currsize
+    common.own_worker("bpe")
+    assert not packing.word_ids.cache_info().currsize
+
+
+def test_words_are_told_apart_as_by_bytes():
+    texts = [*ODD, *random_texts(300), "\x0b\x0c A\rB\tÀ \u3000x", "\x85 \xa0 "]
+    h, counts = word_hashes(pa.array(texts, pa.string()))
+    want = [[xxhash.xxh64_intdigest(w) for w in (t or "").encode().lower().split()] for t in texts]
+    assert counts.tolist() == [len(w) for w in want] and h.tolist() == [x for w in want for x in w]
+    assert [x.tolist() for x in word_hashes(pa.array(texts, pa.string())[3:7])] == [[x for w in want[3:7] for x in w], [len(w) for w in want[3:7]]]
+
 
 
 def test_packing_equals_the_library_on_a_whole_table(spark):

@@ -7,7 +7,10 @@ import gc
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -39,6 +42,25 @@ def gathered(batches: Iterator[pa.RecordBatch], size: int) -> Iterator[pa.Record
         yield pa.concat_batches(held)
 
 
+def word_hashes(texts: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """64-bit hashes of the words of all texts in order, and each text's number of words. Words are what is between ASCII white space,
+    A-Z in lower case; nulls are empty. Arrow splits the texts and tells the words apart, so Python hashes each word of a batch once."""
+    lists = pc.ascii_split_whitespace(pc.ascii_lower(pc.fill_null(texts.cast(pa.string()), "")))
+    coded = pc.list_flatten(lists).dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    named = np.fromiter(map(xxhash.xxh64_intdigest, names), np.uint64, len(names))
+    at = coded.indices.to_numpy()
+    bounds = lists.offsets.to_numpy().astype(np.int64)
+    bounds -= bounds[0]
+    # Splitting leaves an empty string before or after white space at a text's ends.
+    empty = np.fromiter((not n for n in names), bool, len(names))
+    if empty.any():
+        real = ~empty[at]
+        bounds = np.append(0, np.cumsum(real))[bounds]
+        at = at[real]
+    return named[at], np.diff(bounds)
+
+
 _FORGET: dict[str, Callable[[], None]] = {}
 _OWNER: list[str] = []
 

@@ -41,29 +41,19 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import Scratch, bounded_batches, free_shuffles
+from weft.llm.common import Scratch, bounded_batches, free_shuffles, gathered, own_worker, word_hashes
 
 ORDER, K = 3, 5
 BLOCK_TOKENS = 1_000_000
 #: Most frequent contexts; below that, as many as there are partitions.
 HOT = 1 << 16
-WORDS = 400_000
+#: Bytes of texts whose words are told apart together.
+GATHERED = 4 << 20
 END = np.uint64(xxhash.xxh64_intdigest(b"\n"))
 _STEP = np.uint64(6364136223846793005)
 _Z = 3
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = WordHashes()
-
-
 def held_out(doc_id: int | None) -> bool:
     return doc_id is not None and zlib.crc32(str(doc_id).encode()) % 7 == 2
 
@@ -137,18 +127,18 @@ def blocks_of(docs: DataFrame, id_col: str, text_col: str, tokens: int = BLOCK_T
         lengths: list[int] = []
         words: list[np.ndarray] = []
         size, nth, part = 0, 0, 0
+        own_worker("katz")
 
         def block() -> pa.RecordBatch:
-            names, at = np.unique(np.concatenate(words), return_inverse=True)
+            names, _, at = _distinct(np.concatenate(words))
             data = _pack(np.array([i or 0 for i in ids], np.int64), np.array([i is None for i in ids], np.uint8), np.array(lengths, np.int64), _deltas(names), at.astype(np.uint32))
             return _arrow(["block", "data"], [pa.int64(), pa.binary()], [((part << 24) + nth, data)])
 
-        for batch in batches:
-            for doc, text, p in zip(batch.column(0).to_pylist(), batch.column(1).cast(pa.binary()).to_pylist(), batch.column(2).to_pylist(), strict=True):
-                w = text.lower().split() if text else []
-                h = np.empty(len(w) + 1, np.uint64)
-                h[:-1] = np.fromiter(map(_WORDS.__getitem__, w), np.uint64, len(w))
-                h[-1] = END
+        for batch in gathered(batches, GATHERED):
+            own, counts = word_hashes(batch.column(1))
+            stops = np.cumsum(counts)
+            for doc, p, a, b in zip(batch.column(0).to_pylist(), batch.column(2).to_pylist(), (stops - counts).tolist(), stops.tolist(), strict=True):
+                h = np.append(own[a:b], END)
                 part = p
                 ids.append(doc)
                 lengths.append(len(h))
@@ -485,8 +475,9 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         # A word's key: its part, then its rank there. From here on a block's words go by their keys.
         keys = np.concatenate([(np.uint64(part) << np.uint64(40)) + rank.astype(np.uint64) for part, _, rank in got])
         by_key = np.argsort(keys)
+        # Tokens are stored as their words' places by count, which compress better.
         place = np.empty(len(keys), np.uint32)
-        place[by_key] = np.arange(len(keys), dtype=np.uint32)
+        place[by_key[_by_count(counts[by_key])]] = np.arange(len(keys), dtype=np.uint32)
         return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, _pack(b.ids, b.none.view(np.uint8), b.lengths, place[b.word]), _pack(_smallest(counts[by_key]), _deltas(keys[by_key])), None)])
 
     if order == 1:
@@ -505,6 +496,11 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
     return out
 
 
+def _by_count(counts: np.ndarray) -> np.ndarray:
+    """The places of counts, the largest count first."""
+    return np.argsort(-counts.astype(np.int64), kind="stable")
+
+
 def _framed(parts: list[bytes]) -> bytes:
     return b"".join(len(x).to_bytes(8, "little") + x for x in parts)
 
@@ -553,6 +549,7 @@ def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigr
     def request(data: bytes, counts: bytes, low: bytes | None) -> tuple[Block, np.ndarray, dict]:
         b, (c, keys) = Block(data), _unpack(counts)
         c, keys = c.astype(np.int64), _hashes(keys)
+        b.word = _by_count(c)[b.word]
         return b, c, _ngram_request(n, parts, words, hot_from, b, c, keys, lower(b, c, keys, low))
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

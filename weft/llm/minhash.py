@@ -16,8 +16,10 @@ folder, which cuts lineage and survives lost executors.
 At similarity 0.85 a pair shares no bucket with probability (1 - 0.85^6)^28 < 2e-6.
 
 Defined results: lower case means A-Z only; null, empty and blank texts have the empty set, are linked with nothing and
-kept; with fewer words than a shingle the whole sequence is the one shingle; repeated rows of an id are one document if
-their texts are equal (each row is returned); other columns are not read; an empty table gives no rows.
+kept; with fewer words than a shingle the whole sequence is the one shingle; each row is returned, repeated ones alike; where rows share an
+id but not a text, the set with the smallest digest stands for the id in comparisons and all of them go with it; a row without an id goes with
+the rows of its text, and is kept if none of them has an id; a very long text is one set in one task; other columns are not read; an empty
+table gives no rows.
 """
 
 from __future__ import annotations
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import Scratch, bounded_batches, checked_broadcast, own_worker, worker_cache
+from weft.llm.common import Scratch, bounded_batches, checked_broadcast, gathered, own_worker, word_hashes
 
 SHINGLE, BANDS, ROWS = 5, 28, 6
 BINS = BANDS * ROWS
@@ -38,10 +40,13 @@ BINS = BANDS * ROWS
 LINKED = 85
 #: Centres that a bucket may take in the second round; each round after it may take GROWTH times as many, so rounds are few.
 CENTRES, GROWTH = 64, 8
+#: Members of a bucket that are compared with its centres in one place.
+PART = 256
 #: Cells of a parity sketch, and the longs that hold them.
 CELLS = 512
 LONGS = CELLS // 64
-WORDS = 400_000
+#: Bytes of texts whose words are told apart together.
+GATHERED = 4 << 20
 #: Ids up to which the set of documents with candidate edges is broadcast (8 bytes each).
 MOST_IDS = 1_000_000
 _M = np.uint64(0x9E3779B97F4A7C15)
@@ -61,24 +66,10 @@ _DRAWS = (_mixed(np.arange(BINS, dtype=np.uint64)[:, None] * _M + np.arange(1, _
 _BAND = _mixed(np.arange(1, BANDS + 1, dtype=np.uint64) * _M)
 
 
-class WordHashes(dict):
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= WORDS:
-            self.clear()
-        h = self[word] = xxhash.xxh64_intdigest(word)
-        return h
-
-
-_WORDS = WordHashes()
-worker_cache("minhash", _WORDS.clear)
-
-
-def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> list[np.ndarray]:
+def shingle_sets(texts: pa.Array | list[bytes | None], k: int = SHINGLE) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text."""
-    split = [t.lower().split() if t else [] for t in texts]
-    counts = np.array([len(w) for w in split], np.int64)
-    total = int(counts.sum())
-    h = np.fromiter((x for w in split for x in map(_WORDS.__getitem__, w)), np.uint64, total)
+    h, counts = word_hashes(pa.array(texts, pa.binary()) if isinstance(texts, list) else texts)
+    total = len(h)
     n = max(0, total - k + 1)
     rolled = np.zeros(n, np.uint64)
     for i in range(k):
@@ -87,7 +78,12 @@ def shingle_sets(texts: list[bytes | None], k: int = SHINGLE) -> list[np.ndarray
     out, at = [], 0
     for c in counts.tolist():
         if c >= k:
-            out.append(np.unique(rolled[at : at + c - k + 1]))
+            # Sorting and dropping repeats by hand: numpy's unique() does the same with more passes.
+            s = np.sort(rolled[at : at + c - k + 1])
+            keep = np.empty(len(s), bool)
+            keep[0] = True
+            np.not_equal(s[1:], s[:-1], out=keep[1:])
+            out.append(s if keep.all() else s[keep])
         elif c:
             short = np.uint64(c)
             for x in h[at : at + c]:
@@ -132,8 +128,8 @@ SIGNATURES = "doc_id long, n_shingles long, digest binary, keys array<long>, ske
 def signatures(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("minhash")
-        for batch in batches:
-            sets = shingle_sets(batch.column(1).cast(pa.binary()).to_pylist())
+        for batch in gathered(batches, GATHERED):
+            sets = shingle_sets(batch.column(1))
             digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets]
             keys = [bucket_keys(s) if len(s) else None for s in sets]
             sketches = [parity_sketch(s) if len(s) else None for s in sets]
@@ -162,11 +158,11 @@ def confirm(pairs: DataFrame, texts: DataFrame, hundredths: int = LINKED) -> Dat
         last, left = None, None
         for batch in batches:
             a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            texts_a, texts_b = (batch.column(i).cast(pa.binary()) for i in (2, 3))
-            sets, verdicts = shingle_sets(texts_b.to_pylist()), []
+            texts_a = batch.column(2)
+            sets, verdicts = shingle_sets(batch.column(3)), []
             for i, x in enumerate(a):
                 if x != last:
-                    last, left = x, shingle_sets([texts_a[i].as_py()])[0]
+                    last, left = x, shingle_sets(texts_a.slice(i, 1))[0]
                 verdicts.append(linked(left, sets[i], hundredths))
             yield pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64()), pa.array(verdicts)], names=["a", "b", "linked"])
 
@@ -205,31 +201,55 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id"
     bounded_batches(spark)
     scratch = Scratch(spark, "minhash")
     sig = scratch.keep(signatures(docs, id_col, text_col), "signatures")
-    classes = scratch.keep(sig.where("n_shingles > 0").groupBy("digest").agg(F.min("doc_id").alias("rep")), "classes")
-    reps = sig.where("n_shingles > 0").join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("rep_digest")), "doc_id")
+    full = sig.where("n_shingles > 0")
+    classes = scratch.keep(full.groupBy("digest").agg(F.min("doc_id").alias("rep")).where("rep is not null"), "classes")
+    # Where rows of one id have different sets, one set stands for the id: that of the smallest digest.
+    several_sets = scratch.keep(full.where("doc_id is not null").groupBy("doc_id").agg(F.min("digest").alias("first"), F.max("digest").alias("last")).where("first <> last").select("doc_id", "first"), "several-sets")
+    n_several = several_sets.count()
+    if n_several:
+        full = full.join(several_sets, "doc_id", "left").where("first is null or first = digest").drop("first")
+    reps = full.join(classes.select(F.col("rep").alias("doc_id"), F.col("digest").alias("rep_digest")), "doc_id")
     rows = reps.where("digest = rep_digest").select(F.explode(F.array_distinct("keys")).alias("bucket"), F.col("doc_id").alias("doc"), F.col("n_shingles").alias("size")).distinct()
     # Buckets of one class go: counted before the shuffle, so hot buckets are one row a task.
     several = rows.groupBy("bucket").agg(F.count("*").alias("n"), F.min(F.struct("doc", "size")).alias("c")).where("n > 1").select("bucket", F.col("c.doc").alias("centre"), F.col("c.size").alias("centre_size"))
     members = scratch.keep(rows.join(several, "bucket"), "members")
     pairs = members.where("doc <> centre").where(_sizes_allow("size", "centre_size", hundredths)).select(F.col("centre").alias("a"), F.col("doc").alias("b")).distinct()
     pairs = scratch.keep(pairs, "pairs-0")
-    ids = members.select(F.col("doc").alias("doc_id")).distinct()
-    ids = scratch.keep(ids, "ids")
+    ids = scratch.keep(members.select(F.col("doc").alias("doc_id")).distinct(), "ids")
     n_ids = ids.count()
     component = None
     if n_ids:
         source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-        texts = source.join(checked_broadcast(ids, n_ids, MOST_IDS), "doc_id", "left_semi").dropDuplicates(["doc_id"])
-        texts = scratch.keep(texts, "texts")
-        sketches = sig.select(F.col("doc_id").alias("doc"), "sketch").join(checked_broadcast(ids.withColumnRenamed("doc_id", "doc"), n_ids, MOST_IDS), "doc", "left_semi").dropDuplicates(["doc"])
+        texts = source.join(checked_broadcast(ids, n_ids, MOST_IDS), "doc_id", "left_semi")
+        if n_several:
+            texts = _with_first_set(texts, several_sets)
+        texts = scratch.keep(texts.dropDuplicates(["doc_id"]), "texts")
+        sketches = full.select(F.col("doc_id").alias("doc"), "sketch").join(checked_broadcast(ids.withColumnRenamed("doc_id", "doc"), n_ids, MOST_IDS), "doc", "left_semi").dropDuplicates(["doc"])
         component = _link(scratch, members, pairs, texts, scratch.keep(sketches, "sketches"), hundredths)
+        scratch.drop("texts", "sketches", "members", "pairs-0", "ids")
     out = sig.select("doc_id", "n_shingles", "digest").join(classes, "digest", "left")
     if component is not None:
         out = out.join(component.withColumnRenamed("doc", "rep"), "rep", "left")
     else:
         out = out.withColumn("comp", F.lit(None).cast("long"))
     own = F.coalesce("comp", "rep", "doc_id")
-    return out.select("doc_id", "n_shingles", own.alias("component_id"), (F.col("doc_id") == own).alias("kept"))
+    # A row without an id is kept if no row with one has its text.
+    return out.select("doc_id", "n_shingles", own.alias("component_id"), F.coalesce(F.col("doc_id") == own, own.isNull()).alias("kept"))
+
+
+def _with_first_set(texts: DataFrame, several_sets: DataFrame) -> DataFrame:
+    """Of texts that share an id those whose set stands for it; few ids, whose digests are worked out again."""
+    both = texts.join(several_sets, "doc_id", "left")
+    again = both.where("first is not null")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("minhash")
+        for batch in batches:
+            digests = [xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in shingle_sets(batch.column(1))]
+            keep = pa.array([d == f for d, f in zip(digests, batch.column(2).to_pylist(), strict=True)], pa.bool_())
+            yield batch.select([0, 1]).filter(keep)
+
+    return both.where("first is null").select("doc_id", "text").unionByName(again.select("doc_id", "text", "first").mapInArrow(run, "doc_id long, text string"))
 
 
 def _sizes_allow(a: str, b: str, hundredths: int):
@@ -243,6 +263,18 @@ def _sketches_allow(a: str, b: str, sum_of_sizes, hundredths: int):
     return differ * (100 + hundredths) <= sum_of_sizes * (100 - hundredths)
 
 
+def _merged(scratch: Scratch, labels: DataFrame | None, links: DataFrame, tag: str) -> DataFrame:
+    """labels (doc, comp) with new links (a, b) taken in: components of the labels that the links join, not of all edges again."""
+    if labels is None:
+        return components(scratch, links, tag)
+    a, b = (labels.select(F.col("doc").alias(x), F.col("comp").alias(f"c{x}")) for x in ("a", "b"))
+    ends = links.join(a, "a", "left").join(b, "b", "left").select(F.coalesce("ca", "a").alias("a"), F.coalesce("cb", "b").alias("b"))
+    joined = components(scratch, scratch.keep(ends.where("a <> b").distinct(), f"{tag}-joined"), tag).select(F.col("doc").alias("comp"), F.col("comp").alias("into"))
+    fresh = links.select(F.explode(F.array("a", "b")).alias("doc")).distinct().join(labels, "doc", "left_anti").select("doc", F.col("doc").alias("comp"))
+    both = labels.select("doc", "comp").unionByName(fresh).join(joined, "comp", "left")
+    return scratch.keep(both.select("doc", F.coalesce("into", "comp").alias("comp")), f"{tag}-merged")
+
+
 def _link(scratch: Scratch, members: DataFrame, pairs: DataFrame, texts: DataFrame, sketches: DataFrame, hundredths: int) -> DataFrame | None:
     """Rounds of stars until every bucket's members are in one component or compared."""
     centres = members.select("bucket", F.col("centre").alias("doc")).distinct()
@@ -251,23 +283,26 @@ def _link(scratch: Scratch, members: DataFrame, pairs: DataFrame, texts: DataFra
     while True:
         verdicts = scratch.keep(confirm(pairs, texts, hundredths), f"verdicts-{k}")
         seen = verdicts if seen is None else seen.unionByName(verdicts)
-        found = seen.where("linked").select("a", "b")
-        if not verdicts.where("linked").isEmpty():
-            labels = components(scratch, found, f"round-{k}")
+        found = verdicts.where("linked").select("a", "b")
+        if not found.isEmpty():
+            labels = _merged(scratch, labels, found, f"round-{k}")
         k += 1
         at = members.join(labels, "doc", "left").withColumn("comp", F.coalesce("comp", "doc")) if labels is not None else members.withColumn("comp", F.col("doc"))
         at = at.join(centres, ["bucket", "doc"], "left_anti")
         by_comp = at.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
-        alive = by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.max(F.struct("n", "comp")).alias("most")).where("comps > 1").select("bucket", F.col("most.comp").alias("most"))
-        at = scratch.keep(at.join(alive, "bucket").select("bucket", "doc", "size", "comp", "most"), f"open-{k}")
+        alive = by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("rows"), F.max(F.struct("n", "comp")).alias("most"))
+        # A bucket's members are dealt over as many parts as it has PART members; its centres go to each of them.
+        alive = alive.where("comps > 1").select("bucket", F.col("most.comp").alias("most"), F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
+        at = scratch.keep(at.join(alive, "bucket").select("bucket", "doc", "size", "comp", "most", "parts", F.pmod(F.xxhash64("doc", F.lit("part")), "parts").cast("int").alias("part")), f"open-{k}")
         if at.isEmpty():
             return labels
-        parts = CENTRES * GROWTH ** (k - 1)
-        outside = at.where("comp <> most").groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(parts)).alias("part")).agg(F.min(F.struct("doc", "comp", "size")).alias("c"))
-        new = scratch.keep(outside.select("bucket", F.col("c.doc").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.size").alias("centre_size")), f"centres-{k}")
+        draws = CENTRES * GROWTH ** (k - 1)
+        outside = at.where("comp <> most").groupBy("bucket", F.pmod(F.xxhash64("doc"), F.lit(draws)).alias("draw")).agg(F.min(F.struct("doc", "comp", "size", "parts")).alias("c"))
+        new = scratch.keep(outside.select("bucket", F.col("c.doc").alias("centre"), F.col("c.comp").alias("centre_comp"), F.col("c.size").alias("centre_size"), F.col("c.parts").alias("parts")), f"centres-{k}")
         sketched = new.join(sketches.select(F.col("doc").alias("centre"), F.col("sketch").alias("centre_sketch")), "centre")
+        sketched = sketched.withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).drop("parts")
         # Refuted inside the join: what it emits is close to the links.
-        edges = at.join(sketches, "doc").join(sketched, "bucket").where("doc <> centre and comp <> centre_comp").where(_sizes_allow("size", "centre_size", hundredths))
+        edges = at.join(sketches, "doc").join(sketched, ["bucket", "part"]).where("doc <> centre and comp <> centre_comp").where(_sizes_allow("size", "centre_size", hundredths))
         edges = edges.where(_sketches_allow("sketch", "centre_sketch", F.col("size") + F.col("centre_size"), hundredths))
         edges = edges.select(F.least("doc", "centre").alias("a"), F.greatest("doc", "centre").alias("b")).distinct()
         pairs = scratch.keep(edges.join(seen, ["a", "b"], "left_anti"), f"pairs-{k}")
