@@ -90,7 +90,7 @@ def test_images_come_back_and_damage_is_found():
 
 
 def test_media_of_odd_rows(spark, odd):
-    rows = {r.doc_id: r for r in media.media_columns(odd).collect()}
+    rows = {r.doc_id: r for r in media.media_columns(spark, odd).collect()}
     assert (rows[0].n_bytes, rows[0].payload_bytes, rows[0].payload_sha256) == (0, 64, hashlib.sha256(bytes(64)).hexdigest())
     assert rows[6].feature == rows[7].feature and rows[6].media_sha256 == rows[7].media_sha256
 

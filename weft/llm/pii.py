@@ -7,11 +7,14 @@ are evidence. Damped loopy sum-product message passing gives each token's margin
 that agree with an observed entity are added. Repeats are joined occurrence to occurrence, so edges grow with the
 tokens, not with their square, and messages run over all edges of a document at once.
 
-All weights are trained here, on a bounded sample of documents (SAMPLE, those with the smallest hash of their id) whose
-labels are the base spans: softmax regression for shapes, smoothed log-ratios for both kinds of edges.
-
-Defined results: null and empty texts have no spans; spans are in code points, end exclusive; added spans overlap neither base
-spans nor one another; repeated rows, ties and further columns don't matter; an empty table gives no rows.
+The weights are trained here, on a bounded sample of documents (SAMPLE, those with the smallest hash of their id) whose
+labels are the base spans: softmax regression for shapes, log-ratios of counts for both kinds of edges. Set by hand are the counts of
+agreement that skip edges start with (PRIOR), the bound of a shape's log-odds (UNARY) and that of a neighbour's (CHAIN), without which a
+shape that base spans never have would outvote any repeat, and the certainty from which a token is added (SURE).
+
+Defined results: null and empty texts have no spans; a null id stays null; spans are in code points, end exclusive; added spans overlap
+neither base spans nor one another; repeated rows have equal spans, ties in the sample go by id and text; a very long text is one value
+of one batch, numbers of any length among it; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -31,7 +34,7 @@ KINDS = ("email", "ip", "card", "phone")
 STATES = 1 + len(KINDS)
 SAMPLE, ROUNDS, DAMPING, SURE = 3_000, 12, 0.3, 0.8
 #: Occurrences by which repeated tokens are taken to agree before any are seen; bound of a shape's log-odds.
-PRIOR, UNARY = 120, 2.5
+PRIOR, UNARY, CHAIN = 120, 2.5, 1.0
 # Fixed patterns of the contract; possessive where a failure needs no second try.
 LOCAL_CHARS = frozenset("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789._%+-")
 DOMAIN = re.compile(r"@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
@@ -72,7 +75,7 @@ def base_spans(text: str, raw: bytes) -> list[tuple[int, int, int]]:
             at = text.find("@", max(at + 1, last))
     if b"0" in raw.translate(_DIGITS):
         if b"." in raw:
-            found += [(1, *m.span()) for m in IP.finditer(text) if all(len(p.lstrip("0")) <= 3 and int(p) <= 255 for p in m.groups())]
+            found += [(1, *m.span()) for m in IP.finditer(text) if all(len(d := p.lstrip("0")) <= 3 and int(d or "0") <= 255 for p in m.groups())]
         for m in CARD.finditer(text):
             if m.end() - m.start() >= 16:
                 digits = re.sub(r"[ -]", "", m[0])
@@ -239,7 +242,7 @@ def train(texts: list[str], ridge: float = 1e-3) -> Field:
     skip = (skip + skip.T) / 2
     ratio = lambda n: np.log(n / n.sum() / (n.sum(axis=1, keepdims=True) / n.sum()) / (n.sum(axis=0, keepdims=True) / n.sum()))
     own = np.sqrt(np.diag(skip))
-    return Field(w, np.clip(ratio(chain), -1, 1), np.log(skip / own[:, None] / own[None, :]))
+    return Field(w, np.clip(ratio(chain), -CHAIN, CHAIN), np.log(skip / own[:, None] / own[None, :]))
 
 
 def added_spans(text: str, base: list[tuple[int, int, int]], field: Field, sure: float = SURE) -> list[tuple[int, int, int]]:
@@ -263,13 +266,14 @@ def joined(spans: list[tuple[int, int, int]]) -> str:
 def fit(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Field:
     """Trains on at most sample documents among those with an at sign or a plus sign before a digit."""
     rows = docs.where(F.col(text_col).rlike(r"@|\+[0-9]|[0-9]{5}")).select(id_col).distinct().orderBy(F.xxhash64(id_col), id_col).limit(sample)
-    texts = docs.select(id_col, text_col).join(F.broadcast(rows), id_col).orderBy(F.xxhash64(id_col), id_col, text_col).limit(sample)
+    texts = docs.select(id_col, text_col).join(F.broadcast(rows), id_col)
 
     def figures(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:  # what training needs of a text: the stretches around its tokens
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array([_excerpt(t or "") for t in batch.column(1).to_pylist()], pa.string())], names=["id", "text"])
 
-    got = texts.mapInArrow(figures, "id long, text string").collect()
+    # Texts become excerpts where they are read; only then are as many as the sample holds brought together.
+    got = texts.mapInArrow(figures, "id long, text string").distinct().orderBy(F.xxhash64("id"), "id", "text").limit(sample).collect()
     return train([r.text for r in sorted(got, key=lambda r: (r.id is None, r.id, r.text))])
 
 

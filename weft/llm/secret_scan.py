@@ -3,34 +3,42 @@
 Base spans come from three fixed patterns. The method adds spans: a string of key-like characters in a sensitive context
 is measured by the bytes it adds to the compressed form of the text around it. The compressor is primed with a dictionary
 made of identifiers and of the surrounding text, so words, identifiers and repeated strings cost next to nothing, whereas
-random keys cost nearly their own entropy. Candidates that cost at least ``BITS`` a character are reported, whatever their
-length; a run of letters that is made of pairs as in words is none, nor are digits alone, whose 3.3 bits at most are below ``BITS``.
-
-Defined results: null and empty texts have no spans. Spans are in code points, end exclusive. Added spans never overlap a
-base span or one another. Everything is per row, so repeated rows, ties and extra columns don't matter.
+random keys cost nearly their own entropy. The identifiers are a few fixed ones and those that the corpus has most often near sensitive
+words: all documents are counted, and only names made of words count, so that a key in many copies of a document doesn't hide itself.
+Candidates that cost at least ``BITS`` a character are reported, whatever their length; parts joined by dots are one candidate. What
+consists of parts of words is none (an identifier, a path, a sentence), nor are digits alone, whose 3.3 bits at most are below ``BITS``.
+
+Defined results: null and empty texts have no spans; a null id stays null. Spans are in code points, end exclusive. Added spans never overlap
+a base span or one another. Repeated rows have equal spans (with a corpus' identifiers too: they depend on all rows, not on their order, ties in
+their counts going by name); a very long text is one value of one batch; other columns are not read; an empty table gives no rows.
 """
 
 from __future__ import annotations
 
 import hashlib
 import re
+from collections import Counter
 from collections.abc import Iterator
 from itertools import accumulate
 
 import pyarrow as pa
 import zstandard
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from weft.llm.common import own_worker
 
 KINDS = ("assign", "access", "hex", "novel")
 # Fixed patterns of the contract.
-ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""")
+ASSIGN = re.compile(r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{24,}")
 # Runs of key-like characters with at least MIN_NOVEL of them, and words near them that make a context sensitive.
 MIN_NOVEL, AROUND, BITS = 16, 96, 4.0
-CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]{%d,}+" % MIN_NOVEL)
+CANDIDATE = re.compile(r"(?<![A-Za-z0-9+/_.=-])[A-Za-z0-9+/_=-]++(?:\.[A-Za-z0-9+/_=-]++)*+")
+#: Names that the corpus gives to the dictionary: how many at most, what they look like.
+CORPUS_NAMES = 1_500
+NAME = re.compile(r"[A-Za-z_][A-Za-z0-9_.-]{5,63}")
 # A word starts and ends where letters do, or at a change of case as in secretKey and AWSSecret; '_' and digits bound it.
 _EDGE = r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[A-Z][a-z])"
 SENSITIVE = re.compile(
@@ -40,8 +48,10 @@ SENSITIVE = re.compile(
 )
 # Longer runs are also measured piece by piece.
 PIECE = 512
-#: Pairs of letters that words are mostly made of; a string without digits is taken for words where WORDLIKE of its pairs are among them.
-WORDLIKE = 0.55
+#: Pairs of letters that words are mostly made of; a part of a string is taken for a word where WORDLIKE of its pairs are among them,
+#: and the string for a name where such parts hold COVERED of its letters.
+WORDLIKE, COVERED = 0.55, 0.6
+PART = re.compile(r"[A-Z]?[a-z]{2,}|[A-Z]{3,}")
 PAIRS = frozenset(
     "th he in er an re on at en nd ti es or te of ed is it al ar st to nt ng se ha as ou io le ve co me de hi ri ro ic ne ea ra ce li ch ll be ma si om ur ca el ta la "
     "ns di fo ho pe ec pr no ct us ac ot il tr ly nc et ut ss so rs un lo wa ge ie wh ee wi em ad ol rt po we na ul ni ts mo ow pa im mi ai sh ir su id os iv ia am fi "
@@ -86,18 +96,21 @@ def base_spans(text: str, raw: bytes | None = None) -> list[tuple[int, int, str]
 
 
 def wordlike(candidate: str) -> bool:
-    """Whether letters alone, apart from separators, are pairs as in words (or there are no letters and digits)."""
-    if any("0" <= c <= "9" for c in candidate):
-        return False
-    pairs = [x[i : i + 2] for x in re.findall(r"[a-z]+", candidate.lower()) for i in range(len(x) - 1)]
-    return sum(p in PAIRS for p in pairs) >= WORDLIKE * len(pairs)
+    """Whether most letters stand in parts of three and more, of one case but for a first capital, whose pairs are as in words."""
+    letters = sum(map(str.isalpha, candidate))
+    held = 0
+    for x in PART.findall(candidate):
+        low = x.lower()
+        if len(low) >= 3 and sum(low[i : i + 2] in PAIRS for i in range(len(low) - 1)) >= WORDLIKE * (len(low) - 1):
+            held += len(low)
+    return held >= COVERED * letters
 
 
-def _novel_parts(text: str, a: int, b: int, bits: float) -> list[tuple[int, int]]:
+def _novel_parts(text: str, a: int, b: int, bits: float, identifiers: bytes) -> list[tuple[int, int]]:
     """The run if it reaches bits as a whole; of a longer one that doesn't, the joined pieces that do."""
 
     def new(x: int, y: int) -> bool:
-        return novelty(text[x:y], text[max(0, x - 2048) : x] + " " + text[y : y + 2048]) >= bits
+        return not wordlike(text[x:y]) and novelty(text[x:y], text[max(0, x - 2048) : x] + " " + text[y : y + 2048], identifiers) >= bits
 
     if new(a, b):
         return [(a, b)]
@@ -109,7 +122,7 @@ def _novel_parts(text: str, a: int, b: int, bits: float) -> list[tuple[int, int]
     return found
 
 
-def novel_spans(text: str, raw: bytes, base: list[tuple[int, int, str]], bits: float = BITS) -> list[tuple[int, int, str]]:
+def novel_spans(text: str, raw: bytes, base: list[tuple[int, int, str]], bits: float = BITS, identifiers: bytes = IDENTIFIERS) -> list[tuple[int, int, str]]:
     """Key-like strings near a sensitive word, or next lines of one found, that the primed compressor can't shorten."""
     low = raw.lower()
     if not any(k in low for k in _SENSITIVE_BYTES):
@@ -121,6 +134,8 @@ def novel_spans(text: str, raw: bytes, base: list[tuple[int, int, str]], bits: f
     reach = list(accumulate((e for _, e, _ in base), max))
     for m in CANDIDATE.finditer(text):
         a, b = m.span()
+        if b - a < MIN_NOVEL:
+            continue
         while i < len(near) and near[i][1] < a - AROUND:
             i += 1
         goes_on = 0 <= last and a - last <= 8 and text[last:a].isspace()
@@ -138,23 +153,22 @@ def novel_spans(text: str, raw: bytes, base: list[tuple[int, int, str]], bits: f
             j += 1
         if j < len(base) and base[j][0] < b:
             continue
-        c = text[a:b]
-        if wordlike(c) or not any(ch.isalpha() for ch in c):
+        if not any(map(str.isalpha, text[a:b])):
             continue
-        parts = _novel_parts(text, a, b, bits)
+        parts = _novel_parts(text, a, b, bits, identifiers)
         if parts:
             found += [(x, y, "novel") for x, y in parts]
             last = parts[-1][1]
     return found
 
 
-def spans_of(text: str | None, bits: float = BITS) -> list[tuple[int, int, str]]:
+def spans_of(text: str | None, bits: float = BITS, identifiers: bytes = IDENTIFIERS) -> list[tuple[int, int, str]]:
     """All spans by start, then by the order of KINDS."""
     if not text:
         return []
     raw = text.encode("utf-8", "replace")
     base = base_spans(text, raw)
-    return sorted(base + novel_spans(text, raw, base, bits), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
+    return sorted(base + novel_spans(text, raw, base, bits, identifiers), key=lambda x: (x[0], KINDS.index(x[2]), x[1]))
 
 
 def joined(spans: list[tuple[int, int, str]]) -> str:
@@ -171,10 +185,42 @@ def redacted(text: str, spans: list[tuple[int, int, str]]) -> str:
     return "".join([*out, text[at:]])
 
 
+def names_near(text: str) -> set[str]:
+    """Names made of words in the neighbourhood of sensitive words."""
+    raw = text.encode("utf-8", "replace").lower()
+    if not any(k in raw for k in _SENSITIVE_BYTES):
+        return set()
+    found: set[str] = set()
+    at = 0
+    for m in SENSITIVE.finditer(text):
+        a, b = max(at, m.start() - AROUND), m.end() + AROUND
+        found.update(x.strip(".-") for x in NAME.findall(text, a, b))
+        at = max(at, m.start())
+    return {x for x in found if len(x) >= 6 and wordlike(x)}
+
+
+def corpus_identifiers(docs: DataFrame, text_col: str = "text", most: int = CORPUS_NAMES) -> bytes:
+    """A dictionary for the compressor: the fixed identifiers, and the names that most documents have near sensitive words.
+
+    Every document is counted, once a name; a task sends the counts of its own names, and only the most frequent ones reach the driver.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        own_worker("secret_scan")
+        for batch in batches:
+            counts = Counter(x for t in batch.column(0).to_pylist() if t for x in names_near(t))
+            yield pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], names=["name", "n"])
+
+    totals = docs.select(text_col).mapInArrow(run, "name string, n long").groupBy("name").agg(F.sum("n").alias("n")).where("n > 1")
+    names = [r.name for r in totals.orderBy(F.desc("n"), "name").limit(most).collect()]
+    # The compressor reaches what stands last at the least cost.
+    return " ".join(reversed(names)).encode() + b" " + IDENTIFIERS
+
+
 SCHEMA = "doc_id long, n_assign long, n_access long, n_hex long, n_novel long, base_sha256 string, spans string, clean_text string"
 
 
-def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = BITS, redact: bool = False) -> DataFrame:
+def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", bits: float = BITS, redact: bool = False, identifiers: bytes = IDENTIFIERS) -> DataFrame:
     """Spans of every row's whole text; with redact also the text without them (null where the text is null)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -182,7 +228,7 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for batch in batches:
             cols: list[list] = [[] for _ in range(7)]
             for text in batch.column(1).to_pylist():
-                spans = spans_of(text, bits)
+                spans = spans_of(text, bits, identifiers)
                 base = [s for s in spans if s[2] != "novel"]
                 row = (*(sum(s[2] == k for s in spans) for k in KINDS), hashlib.sha256(joined(base).encode()).hexdigest(), joined(spans), redacted(text, spans) if redact and text is not None else None)
                 for c, v in zip(cols, row, strict=True):
@@ -193,14 +239,14 @@ def scan_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
 
 
-def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", bits: float = BITS) -> DataFrame:
+def redact_documents(docs: DataFrame, text_col: str = "text", chars_col: str = "n_chars", bits: float = BITS, identifiers: bytes = IDENTIFIERS) -> DataFrame:
     """docs with every secret replaced in its text; the count of characters follows where a text changed. Other columns stay."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("secret_scan")
         for batch in batches:
             texts, at = batch.column(text_col).to_pylist(), batch.schema.get_field_index(text_col)
-            clean = [t if not t or not (s := spans_of(t, bits)) else redacted(t, s) for t in texts]
+            clean = [t if not t or not (s := spans_of(t, bits, identifiers)) else redacted(t, s) for t in texts]
             cols = list(batch.columns)
             cols[at] = pa.array(clean, batch.schema.field(at).type)
             if (k := batch.schema.get_field_index(chars_col)) >= 0:

@@ -9,7 +9,9 @@ are parsed first, and the payload of a record that fails a filter, or of any rec
 passed over without decoding or hashing.
 
 Defined results: a null html is the empty payload; equal payloads count from ``least`` bytes on; among equal payloads the
-smallest page_id is the response, repeated rows of it too; an empty table gives an empty archive and no rows.
+smallest page_id is the response, repeated rows of it too; a row without an id is a response without a record id, and no other record
+refers to it; line ends in an address are left out; a very long payload is one value in one task; other columns are not read; an empty table
+gives an empty archive and no rows.
 """
 
 from __future__ import annotations
@@ -189,6 +191,7 @@ class WarcSource(DataSource):
 
 
 def read_archive(spark: SparkSession, path: str, payloads: bool = True) -> DataFrame:
+    # The source plans its own filters; without this setting Spark would apply them after reading.
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
     spark.dataSource.register(WarcSource)
     return spark.read.format("weft_warc").option("payloads", str(payloads).lower()).load(path)
