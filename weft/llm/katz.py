@@ -175,14 +175,12 @@ class Block:
         """Of the n - 1 tokens before each token: the distinct ones as columns of keys, ascending by the part that owns them and then
         by the columns; their parts; and each token's place among them. Key 0 stands for the start of a document."""
         named = np.concatenate([np.zeros(1, np.uint64), keys])
-        if n == 2:
-            return [named], (named >> np.uint64(40)).astype(np.int64), self._back(1)
         back = [self._back(k) for k in range(n - 1, 0, -1)]
         at = back[0]
         for b in back[1:]:
             _, first, at = _distinct(at * np.int64(len(named)) + b)
-        columns = [named[b[first]] for b in back]
-        owner = _owner(_tuple_hash(columns), parts)
+        columns = [named[b[first]] for b in back] if n > 2 else [named]
+        owner = _owner(_tuple_hash(columns), parts) if n > 2 else _word_owner(named, parts)
         order = np.argsort(owner, kind="stable")
         place = np.empty(len(order), np.int64)
         place[order] = np.arange(len(order))
@@ -234,6 +232,10 @@ def _owner(h: np.ndarray, parts: int) -> np.ndarray:
     return ((h >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
 
 
+def _word_owner(keys: np.ndarray, parts: int) -> np.ndarray:
+    return (keys % np.uint64(parts)).astype(np.int64)
+
+
 _SENT = "part long, block long, data binary"
 _HOT = ["hot_ctx", "hot_n", *(f"hot_{r}" for r in range(1, K + 1)), "hot_seen"]
 _ANSWER = "part long, block long, data binary, " + ", ".join(f"{c} long" for c in [*_STATS, *_HOT[:-1]]) + ", hot_seen double"
@@ -324,8 +326,7 @@ class Level:
 def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, b: Block, c: np.ndarray, keys: np.ndarray, lower: Level | None) -> dict:
     """Distinct n-grams of a block as (context, word), in the order in which they are sent; index: each token's place there.
 
-    Words have keys whose upper bits are the part that owns them, in the order of the block's own indexes, so sorting small
-    whole numbers sorts by owner. A frequent context's n-grams are owned by their words' parts instead, and come last.
+    Contexts are numbered by the part that owns them first, so sorting small whole numbers sorts by owner. A frequent context's n-grams are owned by their words' parts instead, and come last.
     """
     width = np.int64(len(keys) + 1)
     columns, ctx_owner, ctx = b.contexts(n, keys, parts)
@@ -336,7 +337,7 @@ def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, b: Block,
     often[b.place == 0] = c[b.word[b.lengths[0] - 1]]
     token_hot = often >= hot_from
     top = np.int64(len(ctx_owner)) * width
-    word_part = (keys >> np.uint64(40)).astype(np.int64)
+    word_part = _word_owner(keys, parts)
     mixed = ctx * width + b.word
     mixed[token_hot] += top * (1 + word_part[b.word[token_hot]])
     del often, before, ctx
@@ -472,8 +473,9 @@ def score(spark: SparkSession, docs: DataFrame, id_col: str = "doc_id", text_col
         counts = np.concatenate([x[1].astype(np.int64) for x in got])
         if order == 1:
             return _scored(b, counts, words(counts)[b.word], words)
-        # A word's key: its part, then its rank there. From here on a block's words go by their keys.
-        keys = np.concatenate([(np.uint64(part) << np.uint64(40)) + rank.astype(np.uint64) for part, _, rank in got])
+        # A word's key: its rank in its part, then the part, so that keys are small numbers in about the order of the words' counts.
+        # From here on a block's words go by their keys.
+        keys = np.concatenate([rank.astype(np.uint64) * np.uint64(parts) + np.uint64(part) for part, _, rank in got])
         by_key = np.argsort(keys)
         # Tokens are stored as their words' places by count, which compress better.
         place = np.empty(len(keys), np.uint32)
