@@ -70,6 +70,15 @@ def worker_cache(owner: str, forget: Callable[[], None]) -> None:
     _FORGET[owner] = forget
 
 
+def give_back() -> None:
+    """Returns freed memory to the system: a worker that waits for its next task then holds little."""
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):  # not every C library can give memory back
+        pass
+    pa.default_memory_pool().release_unused()
+
+
 def own_worker(owner: str) -> None:
     """Called as a task starts: workers are reused by later stages, so one holds the caches of one operator at a time."""
     if _OWNER != [owner]:
@@ -78,11 +87,7 @@ def own_worker(owner: str) -> None:
                 forget()
         _OWNER[:] = [owner]
         gc.collect()
-        try:
-            ctypes.CDLL(None).malloc_trim(0)
-        except (AttributeError, OSError):  # not every C library can give memory back
-            pass
-    pa.default_memory_pool().release_unused()
+    give_back()
 
 
 def shared_root(spark: SparkSession) -> str:

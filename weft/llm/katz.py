@@ -41,10 +41,10 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from weft.llm.common import Scratch, bounded_batches, free_shuffles, gathered, own_worker, word_hashes
+from weft.llm.common import Scratch, bounded_batches, free_shuffles, gathered, give_back, own_worker, word_hashes
 
 ORDER, K = 3, 5
-BLOCK_TOKENS = 1_000_000
+BLOCK_TOKENS = 800_000
 #: Most frequent contexts; below that, as many as there are partitions.
 HOT = 1 << 16
 #: Bytes of texts whose words are told apart together.
@@ -289,6 +289,7 @@ def _with_answers(stored: DataFrame, answers: DataFrame, run, schema: str) -> Da
     bucketed table, so only the answers move."""
 
     def group(key: tuple[pa.Scalar, ...], one: pa.Table, t: pa.Table) -> pa.Table:
+        give_back()
         got = sorted(zip(t["part"].to_pylist(), t["data"].to_pylist(), strict=True))
         return run(key[0].as_py(), *(one[c][0].as_py() for c in ("data", "counts", "low")), got)
 
@@ -342,7 +343,7 @@ def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, b: Block,
     mixed[token_hot] += top * (1 + word_part[b.word[token_hot]])
     del often, before, ctx
     grams, first, index = _distinct(mixed)
-    del mixed
+    del mixed, token_hot
     cold = int(np.searchsorted(grams, top))
     gram_ctx, gram_word = grams % top // width, grams % width
     owner = ctx_owner[gram_ctx]
@@ -360,7 +361,7 @@ def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, b: Block,
         at = np.concatenate([np.arange(i, j) for i, j in halves[part]])
         g = gram_ctx[at]
         runs = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | ((at[1:] >= cold) != (at[:-1] >= cold))))
-        q["slices"].append((part, at, [x[g[runs]] for x in columns], at[runs] >= cold, np.diff(np.append(runs, len(at))), at[runs]))
+        q["slices"].append((part, at.astype(np.int32), [x[g[runs]] for x in columns], at[runs] >= cold, np.diff(np.append(runs, len(at))).astype(np.int32), at[runs]))
     return q
 
 
@@ -382,6 +383,10 @@ def _add_words(t: pa.Table) -> pa.Table:
 
 def _adder(n: int, words: Unigrams, d_lower: np.ndarray | None):
     def add_ngrams(t: pa.Table) -> pa.Table:
+        give_back()
+        return add(t)
+
+    def add(t: pa.Table) -> pa.Table:
         """Counts of a part's n-grams for each block that asked; of their contexts: the followers' total, how many of them
         occur once, twice, ... up to K times, and the lower order's mass of those that occur at all."""
         got = [(p, block, _unpack(data)) for p, block, data in zip(*(t[c].to_pylist() for c in ("part", "block", "data")), strict=True)]
@@ -557,6 +562,7 @@ def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigr
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
+                give_back()
                 q = request(*s)[2]
                 for part, at, columns, hot, lengths, runs in q["slices"]:
                     under = [] if q["low_total"] is None else [_smallest(q["low_total"][runs])]
