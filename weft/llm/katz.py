@@ -44,7 +44,7 @@ from pyspark.sql import functions as F
 from weft.llm.common import Scratch, bounded_batches, free_shuffles, gathered, give_back, own_worker, word_hashes
 
 ORDER, K = 3, 5
-BLOCK_TOKENS = 800_000
+BLOCK_TOKENS = 1_000_000
 #: Most frequent contexts; below that, as many as there are partitions.
 HOT = 1 << 16
 #: Bytes of texts whose words are told apart together.
@@ -109,6 +109,11 @@ def _tuple_hash(columns: list[np.ndarray]) -> np.ndarray:
     return h
 
 
+def _narrow(a: np.ndarray) -> np.ndarray:
+    """Unsigned numbers in 32 bits where they fit."""
+    return a.astype(np.uint32) if not len(a) or a.max() < 1 << 32 else a
+
+
 def _smallest(counts: np.ndarray) -> np.ndarray:
     return counts.astype(np.min_scalar_type(int(counts.max()))) if len(counts) else counts.astype(np.uint8)
 
@@ -327,7 +332,8 @@ class Level:
 def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, b: Block, c: np.ndarray, keys: np.ndarray, lower: Level | None) -> dict:
     """Distinct n-grams of a block as (context, word), in the order in which they are sent; index: each token's place there.
 
-    Contexts are numbered by the part that owns them first, so sorting small whole numbers sorts by owner. A frequent context's n-grams are owned by their words' parts instead, and come last.
+    Contexts are numbered by the part that owns them first, so sorting small whole numbers sorts by owner. A frequent context's n-grams
+    are owned by their words' parts instead.
     """
     width = np.int64(len(keys) + 1)
     columns, ctx_owner, ctx = b.contexts(n, keys, parts)
@@ -337,31 +343,21 @@ def _ngram_request(n: int, parts: int, words: Unigrams, hot_from: int, b: Block,
     often[1:] = before[:-1]
     often[b.place == 0] = c[b.word[b.lengths[0] - 1]]
     token_hot = often >= hot_from
-    top = np.int64(len(ctx_owner)) * width
+    # Grams are numbered by owner, cold before hot, context and word, so what goes to a part is one stretch of every array below.
     word_part = _word_owner(keys, parts)
-    mixed = ctx * width + b.word
-    mixed[token_hot] += top * (1 + word_part[b.word[token_hot]])
-    del often, before, ctx
-    grams, first, index = _distinct(mixed)
-    del mixed, token_hot
-    cold = int(np.searchsorted(grams, top))
-    gram_ctx, gram_word = grams % top // width, grams % width
-    owner = ctx_owner[gram_ctx]
-    owner[cold:] = word_part[gram_word[cold:]]
-    seen = np.bincount(index[b.train], minlength=len(grams))
-    sent_low = c[gram_word] if lower is None else lower.count[first]
-    low = words(sent_low) if lower is None else lower.p[first]
-    low_total = None if lower is None else lower.total[first]
-    q = {"index": index, "low": low, "sent_low": sent_low, "low_total": low_total, "seen": seen, "keys": keys[gram_word], "slices": []}
-    halves = {}
-    for lo, hi in ((0, cold), (cold, len(grams))):
-        for part, i, j in _cuts(owner[lo:hi]):
-            halves.setdefault(part, []).append((lo + i, lo + j))
-    for part in sorted(halves):
-        at = np.concatenate([np.arange(i, j) for i, j in halves[part]])
-        g = gram_ctx[at]
-        runs = np.flatnonzero(np.append(True, (g[1:] != g[:-1]) | ((at[1:] >= cold) != (at[:-1] >= cold))))
-        q["slices"].append((part, at.astype(np.int32), [x[g[runs]] for x in columns], at[runs] >= cold, np.diff(np.append(runs, len(at))).astype(np.int32), at[runs]))
+    owner = np.where(token_hot, word_part[b.word], ctx_owner[ctx])
+    first, index = _distinct(((2 * owner + token_hot) * np.int64(len(ctx_owner)) + ctx) * width + b.word)[1:]
+    gram_ctx, gram_word, gram_hot, owner = ctx[first], b.word[first], token_hot[first], owner[first]
+    del often, before, ctx, token_hot
+    new = np.ones(len(first), bool)
+    new[1:] = (gram_ctx[1:] != gram_ctx[:-1]) | (owner[1:] != owner[:-1]) | (gram_hot[1:] != gram_hot[:-1])
+    starts = np.flatnonzero(new)
+    q = {
+        "index": index, "sent_low": c[gram_word] if lower is None else lower.count[first], "keys": gram_word, "slices": _cuts(owner), "starts": starts,
+        "lengths": np.diff(np.append(starts, len(first))), "hot": gram_hot[starts], "columns": columns, "context": gram_ctx[starts],
+        "low_total": None if lower is None else lower.total[first[starts]],
+    }
+    q["low"] = words(q["sent_low"]) if lower is None else lower.p[first]
     return q
 
 
@@ -391,7 +387,7 @@ def _adder(n: int, words: Unigrams, d_lower: np.ndarray | None):
         occur once, twice, ... up to K times, and the lower order's mass of those that occur at all."""
         got = [(p, block, _unpack(data)) for p, block, data in zip(*(t[c].to_pylist() for c in ("part", "block", "data")), strict=True)]
         columns = [np.concatenate([_hashes(a[6 if d_lower is not None else 5]) for *_, a in got])]
-        columns += [np.concatenate([a[k] for *_, a in got]) for k in range(7, 7 + n - 2)]
+        columns += [np.concatenate([a[k] for *_, a in got]).astype(np.uint64) for k in range(7, 7 + n - 2)]
         _, some, run_ctx = _distinct(columns[0])
         for c in columns[1:]:
             values, _, at = _distinct(c)
@@ -523,23 +519,25 @@ def _unframed(data: bytes) -> list[bytes]:
 
 def _level(q: dict, got: list[bytes], d: np.ndarray, hot_names: np.ndarray, hot_sums: np.ndarray) -> Level:
     """A request's answers as probabilities, counts and contexts' totals by token."""
-    n = len(q["seen"])
-    probs, count, whole = np.empty(n), np.empty(n, np.int64), np.empty(n, np.int64)
-    for (_, at, columns, hot, lengths, _), (total, n_ctx, *once, mass) in zip(q["slices"], map(_unpack, got), strict=True):
-        n_ctx, mass = n_ctx.astype(np.int64), mass.copy()
-        rare, n_ctx, once = (n_ctx & 1) > 0, (n_ctx >> 1).astype(np.float64), [x.astype(np.float64) for x in once]
-        if hot.any() and len(hot_names):
-            names = _tuple_hash(columns)
-            k = np.searchsorted(hot_names, names).clip(max=len(hot_names) - 1)
-            match = hot & (hot_names[k] == names)
-            sums = hot_sums[k[match]].T
-            for x, y in zip([n_ctx, *once, mass], sums, strict=True):
-                x[match] = y
-            rare[match] = sums[1 : K + 1].sum(axis=0) > 0
-        runs = np.repeat(np.arange(len(lengths)), lengths)
-        probs[at] = _katz(total.astype(np.int64), q["low"][at], runs, n_ctx, rare, once, mass, d)
-        count[at], whole[at] = total, (2 * n_ctx.astype(np.int64) + rare)[runs]
-    return Level(probs[q["index"]], count[q["index"]], whole[q["index"]])
+    answers = [_unpack(x) for x in got]
+    total, n_ctx = (np.concatenate([a[k] for a in answers]).astype(np.int64) for k in (0, 1))
+    once = [np.concatenate([a[1 + r] for a in answers]).astype(np.float64) for r in range(1, K + 1)]
+    mass = np.concatenate([a[K + 2] for a in answers])
+    del answers
+    rare, n_ctx = (n_ctx & 1) > 0, (n_ctx >> 1).astype(np.float64)
+    at = np.flatnonzero(q["hot"])
+    if len(at) and len(hot_names):
+        names = _tuple_hash([x[q["context"][at]] for x in q["columns"]])
+        k = np.searchsorted(hot_names, names).clip(max=len(hot_names) - 1)
+        at, k = at[hot_names[k] == names], k[hot_names[k] == names]
+        sums = hot_sums[k].T
+        for x, y in zip([n_ctx, *once, mass], sums, strict=True):
+            x[at] = y
+        rare[at] = sums[1 : K + 1].sum(axis=0) > 0
+    runs = np.repeat(np.arange(len(q["lengths"])), q["lengths"])
+    probs = _katz(total, q["low"], runs, n_ctx, rare, once, mass, d)
+    whole = (2 * n_ctx.astype(np.int64) + rare)[runs]
+    return Level(probs[q["index"]], total[q["index"]], whole[q["index"]])
 
 
 def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigrams, hot_from: int, known: list[tuple], last: bool) -> DataFrame:
@@ -553,20 +551,25 @@ def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigr
             level = _level(_ngram_request(m, parts, words, hot_from, b, c, keys, level), _unframed(answers), *of)
         return level
 
-    def request(data: bytes, counts: bytes, low: bytes | None) -> tuple[Block, np.ndarray, dict]:
+    def request(data: bytes, counts: bytes, low: bytes | None) -> tuple[Block, np.ndarray, dict, np.ndarray]:
         b, (c, keys) = Block(data), _unpack(counts)
         c, keys = c.astype(np.int64), _hashes(keys)
         b.word = _by_count(c)[b.word]
-        return b, c, _ngram_request(n, parts, words, hot_from, b, c, keys, lower(b, c, keys, low))
+        return b, c, _ngram_request(n, parts, words, hot_from, b, c, keys, lower(b, c, keys, low)), keys
 
     def send(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for block, *s in zip(*(batch.column(i).to_pylist() for i in range(4)), strict=True):
                 give_back()
-                q = request(*s)[2]
-                for part, at, columns, hot, lengths, runs in q["slices"]:
-                    under = [] if q["low_total"] is None else [_smallest(q["low_total"][runs])]
-                    data = _pack(hot.view(np.uint8), _smallest(lengths), q["keys"][at], _smallest(q["sent_low"][at]), _smallest(q["seen"][at]), *under, _deltas(columns[0]), *columns[1:])
+                b, _, q, word_keys = request(*s)
+                seen = _smallest(np.bincount(q["index"][b.train], minlength=len(q["keys"])))
+                low, keys, lengths = _smallest(q["sent_low"]), _narrow(word_keys[q["keys"]]), _smallest(q["lengths"])
+                under = None if q["low_total"] is None else _smallest(q["low_total"])
+                columns, hot = [x[q["context"]] for x in q["columns"]], q["hot"].view(np.uint8)
+                later = [_narrow(x) for x in columns[1:]]
+                rows = np.searchsorted(q["starts"], [i for _, i, _ in q["slices"]] + [len(q["keys"])]).tolist()
+                for (part, i, j), r, z in zip(q["slices"], rows, rows[1:]):
+                    data = _pack(hot[r:z], lengths[r:z], keys[i:j], low[i:j], seen[i:j], *([] if under is None else [under[r:z]]), _narrow(_deltas(columns[0][r:z])), *(x[r:z] for x in later))
                     yield _arrow(["part", "block", "data"], [pa.int64(), pa.int64(), pa.binary()], [(part, block, data)])
 
     sent = stored.select("block", "data", "counts", "low").mapInArrow(send, _SENT)
@@ -583,7 +586,7 @@ def _raise(scratch: Scratch, stored: DataFrame, n: int, parts: int, words: Unigr
     def take(block: int, data: bytes, counts: bytes, low: bytes | None, got: list) -> pa.Table:
         if not last:
             return _table(["block", "data", "counts", "low"], [pa.int64(), *[pa.binary()] * 3], [(block, data, counts, (low or b"") + _framed([_framed([x for _, x in got])]))])
-        b, c, q = request(data, counts, low)
+        b, c, q, _ = request(data, counts, low)
         return _scored(b, c, _level(q, [x for _, x in got], d, hot_names, hot_sums).p, words)
 
     return _with_answers(stored, answers.where("block is not null"), take, SCORES if last else _STORED)
