@@ -292,8 +292,8 @@ def _link(scratch: Scratch, members: DataFrame, pairs: DataFrame, texts: DataFra
         by_comp = at.groupBy("bucket", "comp").agg(F.count("*").alias("n"))
         alive = by_comp.groupBy("bucket").agg(F.count("*").alias("comps"), F.sum("n").alias("rows"), F.max(F.struct("n", "comp")).alias("most"))
         # A bucket's members are dealt over as many parts as it has PART members; its centres go to each of them.
-        alive = alive.where("comps > 1").select("bucket", F.col("most.comp").alias("most"), F.ceil(F.col("rows") / PART).cast("int").alias("parts"))
-        at = scratch.keep(at.join(alive, "bucket").select("bucket", "doc", "size", "comp", "most", "parts", F.pmod(F.xxhash64("doc", F.lit("part")), "parts").cast("int").alias("part")), f"open-{k}")
+        alive = scratch.keep(alive.where("comps > 1").select("bucket", F.col("most.comp").alias("most"), F.ceil(F.col("rows") / PART).cast("int").alias("parts")), f"alive-{k}")
+        at = scratch.keep(at.join(checked_broadcast(alive, alive.count(), MOST_IDS), "bucket").select("bucket", "doc", "size", "comp", "most", "parts", F.pmod(F.xxhash64("doc", F.lit("part")), "parts").cast("int").alias("part")), f"open-{k}")
         if at.isEmpty():
             return labels
         draws = CENTRES * GROWTH ** (k - 1)

@@ -34,7 +34,7 @@ from weft.llm.common import Scratch, bounded_batches, gathered, own_worker, work
 
 CAPACITY, END = 2048, 0
 #: Chunks of a cache generation; a longer chunk than LONG goes to the library.
-CHUNKS, LONG = 300_000, 1_000
+CHUNKS, LONG = 200_000, 1_000
 #: Bytes of texts whose chunks are told apart together: the more, the fewer of them are looked up.
 GATHERED = 4 << 20
 #: Pieces of one slice of one length, roughly: ranks are taken within such slices.
