@@ -32,17 +32,21 @@ import json
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 
-from weft.llm.common import own_worker, worker_cache
+from weft.llm.common import gathered, own_worker, worker_cache
 
 _WS = r"\t-\r\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 # The fixed pre-splitting pattern of the vocabulary, with white space spelled out.
 SPLIT = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d| ?\p{{L}}+| ?\p{{N}}+| ?[^{_WS}\p{{L}}\p{{N}}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]+")
-#: Where a text can't be cut at every single space.
-_ODD = re.compile(rf" [{_WS}]|[{_WS}] |^ | $")
+#: Where a text can't be cut at every single space: white space beside it, or a space at the text's ends.
+_ODD_CUT = r" [\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}]|[\t-\r\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}\x{3000}] |^ | $"
+#: Bytes of texts whose pieces are told apart together.
+GATHERED = 2 << 20
 #: Entries of a worker's word cache before the older half goes; arcs that are remembered, and states of the compiled automaton, before
 #: they are emptied.
 WORDS, ARCS, STATES = 200_000, 300_000, 300_000
@@ -87,7 +91,6 @@ class Automaton:
         self._forget()
         self.arcs: dict[int, bool] = {}
         self.special_pattern = re.compile("|".join(f"({re.escape(s)})" for s in sorted(self.special, key=len, reverse=True))) if self.special else None
-        self.decimal = {str(i): b for i, b in enumerate(self.labels)}
 
     def _gadget(self, step: int, u: int, v: int, w: int) -> None:
         """One merge: cut the arc v after u; w's arcs run beside u's and lead to a copy of the state after v as it was."""
@@ -202,53 +205,96 @@ class Generations(dict):
 
 @functools.lru_cache(maxsize=2)
 def automaton(path: str) -> tuple[Automaton, Generations, Generations]:
-    """One automaton a worker; with the decimal ids of single words, alone and after a space."""
+    """One automaton a worker; with the paths of single words, alone and of what follows a space: the decimal ids, their number, and the
+    bytes that their arcs' labels spell."""
     a = Automaton(path)
-    name = [str(i) for i in range(len(a.labels))].__getitem__
-    words = Generations(lambda w: ",".join(map(name, a.word(w.encode()))), WORDS)
-    spaced = Generations(lambda c: ",".join(words[w] for w in SPLIT.findall(" " + c)), WORDS)
-    return a, words, spaced
+    name, label = [str(i) for i in range(len(a.labels))].__getitem__, a.labels.__getitem__
+
+    def of_word(w: str) -> tuple[str, int, bytes]:
+        ids = a.word(w.encode())
+        return ",".join(map(name, ids)), len(ids), b"".join(map(label, ids))
+
+    words = Generations(of_word, WORDS)
+    return a, words, Generations(lambda c: joined([words[w] for w in SPLIT.findall(" " + c)]), WORDS)
+
+
+def joined(parts: list[tuple[str, int, bytes]]) -> tuple[str, int, bytes]:
+    """Paths one after the other."""
+    if len(parts) == 1:
+        return parts[0]
+    return ",".join([p[0] for p in parts]), sum(p[1] for p in parts), b"".join([p[2] for p in parts])
 
 
 worker_cache("bpe", automaton.cache_clear)
 
 
+def path_of(text: str, path: str) -> tuple[str, int, bytes]:
+    """A text's path, special tokens among it."""
+    a, words, _ = automaton(path)
+    parts = a.special_pattern.split(text) if a.special_pattern is not None else [text]
+    found: list[tuple[str, int, bytes]] = []
+    for p in parts:
+        if p and len(parts) > 1 and p in a.special:
+            found.append((str(a.special[p]), 1, a.labels[a.special[p]]))
+        elif p:
+            found += [words[w] for w in SPLIT.findall(p)]
+    return joined(found)
+
+
 def decimal_ids(text: str, path: str) -> str:
     """The ids of a text in decimal, joined by commas."""
-    a, words, spaced = automaton(path)
-    parts = a.special_pattern.split(text) if a.special_pattern is not None else [text]
-    if len(parts) == 1:
-        return _plain_decimal(text, words, spaced)
-    return ",".join(str(a.special[p]) if p in a.special else _plain_decimal(p, words, spaced) for p in parts if p)
+    return path_of(text, path)[0]
 
 
-def _plain_decimal(text: str, words: Generations, spaced: Generations) -> str:
-    if _ODD.search(text):
-        return ",".join([words[w] for w in SPLIT.findall(text)])
-    head, *rest = text.split(" ")
-    first = [",".join(words[w] for w in SPLIT.findall(head))] if head else []
-    return ",".join([*first, *map(spaced.__getitem__, rest)])
+def paths_of(texts: pa.Array, path: str) -> list[tuple[str, int, bytes]]:
+    """The paths of a batch of texts. Texts that may be cut at every space are: Arrow cuts them and tells what follows a space apart, so
+    each such piece of the batch is looked up once."""
+    a, words, spaced = automaton(path)
+    texts = pc.fill_null(texts.cast(pa.string()), "")
+    odd = pc.match_substring_regex(texts, _ODD_CUT)
+    for special in a.special:
+        odd = pc.or_(odd, pc.match_substring(texts, special))
+    lists = pc.split_pattern(pc.if_else(odd, "", texts), " ")
+    coded = pc.list_flatten(lists).dictionary_encode()
+    names = coded.dictionary.to_numpy(zero_copy_only=False).tolist()
+    at, bounds = coded.indices.to_numpy(), (lists.offsets.to_numpy() - lists.offsets[0].as_py()).tolist()
+    # The first piece of a text has no space before it.
+    inner = np.ones(len(at), bool)
+    inner[bounds[:-1]] = False
+    wanted = np.zeros(len(names), bool)
+    wanted[at[inner]] = True
+    known = [spaced[n] if w else ("", 0, b"") for n, w in zip(names, wanted.tolist(), strict=True)]
+    decimals, spelt, sizes = [k[0] for k in known], [k[2] for k in known], np.array([k[1] for k in known], np.int64)[at]
+    out = []
+    for text_is_odd, i, j, text in zip(odd.to_pylist(), bounds[:-1], bounds[1:], texts, strict=True):
+        if text_is_odd:
+            out.append(path_of(text.as_py(), path))
+            continue
+        head = joined([words[w] for w in SPLIT.findall(names[at[i]])]) if names[at[i]] else ("", 0, b"")
+        rest = at[i + 1 : j].tolist()
+        if not rest:
+            out.append(head)
+            continue
+        first = [head[0]] if head[1] else []
+        out.append((",".join([*first, *map(decimals.__getitem__, rest)]), head[1] + int(sizes[i + 1 : j].sum()), head[2] + b"".join(map(spelt.__getitem__, rest))))
+    return out
 
 
 SCHEMA = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string, ids array<int>"
 
 
 def encode_documents(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", keep_ids: bool = True) -> DataFrame:
-    """Every row's whole text encoded, then decoded from its ids. keep_ids: whether the ids themselves are returned."""
+    """Every row's whole text encoded, then decoded from its path. keep_ids: whether the ids themselves are returned."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own_worker("bpe")
-        for batch in batches:
+        for batch in gathered(batches, GATHERED):
             n, enc, dec, kept = [], [], [], []
-            label = automaton(path)[0].decimal
-            for text in batch.column(1).to_pylist():
-                s = decimal_ids(text or "", path)
-                ids = s.split(",") if s else []
-                back = b"".join(map(label.__getitem__, ids)).decode("utf-8", "replace")
-                n.append(len(ids))
+            for s, size, spelt in paths_of(batch.column(1), path):
+                n.append(size)
                 enc.append(hashlib.sha256(s.encode()).hexdigest())
-                dec.append(hashlib.sha256(back.encode()).hexdigest())
-                kept.append(list(map(int, ids)) if keep_ids else None)
+                dec.append(hashlib.sha256(spelt.decode("utf-8", "replace").encode()).hexdigest())
+                kept.append([int(i) for i in s.split(",") if i] if keep_ids else None)
             yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.int64()), pa.array(n, pa.int64()), pa.array(enc, pa.string()), pa.array(dec, pa.string()), pa.array(kept, pa.list_(pa.int32()))], names=[f.split()[0] for f in SCHEMA.split(", ")])
 
     return docs.select(id_col, text_col).mapInArrow(run, SCHEMA)
