@@ -49,7 +49,7 @@ _ODD_CUT = r" [\t-\r \x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202
 GATHERED = 2 << 20
 #: Entries of a worker's word cache before the older half goes; arcs that are remembered, and states of the compiled automaton, before
 #: they are emptied.
-WORDS, ARCS, STATES = 200_000, 300_000, 300_000
+WORDS, ARCS, STATES = 320_000, 300_000, 300_000
 
 
 def byte_alphabet() -> dict[str, int]:
