@@ -53,7 +53,7 @@ TOOLS: dict[str, Callable[..., object]] = {
     "find_interface_violations": lambda g, scope="": _rows(t.interface_violations(g, scope)),
     "estimate_migration_cost": lambda g, from_package, to_package="": t.migration(g, from_package, to_package),
     "query_graph_raw": lambda g, sql: _rows(guard.query(g.file.sparkSession, g, sql)),
-    "scaffold_polyglot_feature": lambda g, feature_name, stack="fastapi+react": generate.scaffold(g, feature_name, stack),
+    "scaffold_feature": lambda g, feature_name, stack="fastapi+react": generate.scaffold(g, feature_name, stack),
     "generate_test_suite": lambda g, method_fqn: generate.test_suite(g, method_fqn),
     "explain_change_history": lambda g, file_path: t.change_history(g.file.sparkSession, g, file_path),
     "generate_architecture_diagram": lambda g, scope="", diagram_type="module": {"mermaid": t.diagram(g, diagram_type, scope)} | t.diagram_counts(g, diagram_type, scope).first().asDict(),
